@@ -1 +1 @@
-"""Placeholder."""
+"""Composite operators: whitelist, assignment, molecules, abundances, matrix."""

@@ -1 +1 @@
-"""Placeholder."""
+"""Connectors: FASTX and BAM sources, FASTA, matrix and text sinks."""

@@ -1 +1 @@
-"""Placeholder."""
+"""Assignment and deduplication over streams."""
