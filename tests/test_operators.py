@@ -182,5 +182,5 @@ def test_matrix_and_sinks(spark, tmp_path):
     assert read("matrix.mtx.gz")[2:] == ["4\t122\t5", "1\t1\t1", "1\t2\t1", "2\t1\t0.5", "2\t2\t0.5", "3\t1\t1"]
     sinks.write_eqclass_text(molecules.molecules(df), targets, str(tmp_path / "eq.txt"))
     lines = (tmp_path / "eq.txt").read_text().splitlines()
-    assert lines[:2] == ["122", "t0\t100"] and sorted(lines[123:])[1] == "A" * 15 + "C\tACG\tt0\tt1"
+    assert lines[:2] == ["122", "t0\t100"] and sorted(lines[123:])[2] == "A" * 15 + "C\tACG\tt0\tt1"
     assert [sinks.number(x) for x in (1.0, 0.1, 1e7, 0.029215664, 12345678)] == ["1", "0.1", "10000000", "0.029215664", "12345678"]
