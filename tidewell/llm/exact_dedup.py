@@ -86,10 +86,10 @@ def exact_dedup(
 
 def keep_first(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that ``exact_dedup`` keeps, with all their columns."""
-    marked = exact_dedup(df, text_col, id_col).where("kept").select(
-        F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")
-    )
-    keyed = df.withColumn("_sha2", F.sha2(normalised(F.col(text_col)), 256))
-    met = keyed.join(marked, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha2") == F.col("_sha")), "left_semi")
+    # The id as text, never null: the join and the last step then share one exchange of the rows.
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    marked = exact_dedup(df, text_col, id_col).where("kept").select(key.alias("_id"), F.col("text_sha256").alias("_sha"))
+    keyed = df.withColumn("_id", key).withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
+    met = keyed.join(marked, ["_id", "_sha"], "left_semi")
     # Rows repeated with the same id and text meet here; one of them stays.
-    return met.dropDuplicates([id_col, "_sha2"]).drop("_sha2")
+    return met.dropDuplicates(["_id", "_sha"]).select(*df.columns)

@@ -436,6 +436,10 @@ def representatives(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     marked, _ = written(with_fingerprints(df, text_col, "_f"), "fingerprints")
     known = classes(marked.select(id_col, "_f"), id_col, "_f", **options)
     first = known.where((F.col("root.d") == F.col("d")) & (F.col("root.f") == F.col("f")))
-    first = first.select(F.col("f").alias("_f"), F.when(F.col("d") != NO_ID, F.col("d")).alias("_d"))
-    kept = marked.join(first, (marked["_f"] == first["_f"]) & marked[id_col].eqNullSafe(first["_d"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_f"]).drop("_f")
+    # The id as text, never null: the join and the last step then share one exchange of the rows.
+    first = first.select(
+        F.col("f").alias("_f"), F.when(F.col("d") != NO_ID, F.col("d").cast("string")).otherwise("").alias("_id")
+    )
+    keyed = marked.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    kept = keyed.join(first, ["_f", "_id"], "left_semi")
+    return kept.dropDuplicates(["_f", "_id"]).select(*df.columns)
