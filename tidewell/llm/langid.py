@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
-
 UNKNOWN = "und"
+MOST_LABELS = 10_000
 ORDERS = (1, 2, 3)
 # Odd multipliers of the n-gram hash, one for each place in the n-gram.
 MULTIPLIERS = (2654435761, 2246822519, 3266489917)
@@ -138,8 +137,7 @@ def train(
 
     Document frequencies are counted over all of them, by task, and summed.  The
     sample is the ``per_label`` rows of each label with the least hashes of
-    their ids, found on ids alone, first by salt and then by label; only its
-    n-gram counts reach the driver, at most 2**bits a text.
+    their ids, found on ids alone; only its n-gram counts reach the driver, at most 2**bits a text.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).where(
         "label is not null and text is not null and id is not null"
@@ -160,16 +158,21 @@ def train(
     frequency = np.zeros(size + 1, np.int64)
     for r in counted.collect():  # at most 2**bits + 1 rows
         frequency[r["at"]] = r["n"]
-    salts = shuffle_width(df.sparkSession)
-    rank = F.xxhash64("id")
-    keyed = rows.select("id", "label", rank.alias("rank"), F.pmod(F.xxhash64("rank"), F.lit(salts)).alias("salt"))
-    order = ("rank", "id")
-    few = keyed.withColumn("n", F.row_number().over(Window.partitionBy("label", "salt").orderBy(*order))).where(F.col("n") <= per_label)
-    few = few.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("n") <= per_label)
-    chosen = [r["id"] for r in few.select("id").distinct().collect()]  # at most per_label a label
-    if not chosen:
+    spark = df.sparkSession
+    keyed = rows.select("id", "label", F.xxhash64("id").alias("rank"))
+    counts = keyed.groupBy("label").count().collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"{len(counts)} labels; the model is for {MOST_LABELS} at most")
+    if not counts:
         return fit([], frequency[:size], 0, bits)
-    ids = df.sparkSession.createDataFrame([(i,) for i in chosen], rows.select("id").schema)
+    # Ranks are uniform, so a label's count says below which rank about four samples' worth of its rows lie;
+    # only those are sorted, however common the label.
+    limits = spark.createDataFrame([(r["label"], min(1.0, 4 * per_label / r["count"])) for r in counts], "label string, below double")
+    low = keyed.join(F.broadcast(limits), "label").where(F.col("rank") / F.lit(2.0**64) + 0.5 <= F.col("below"))
+    order = Window.partitionBy("label").orderBy("rank", "id")
+    few = low.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label)
+    chosen = [r["id"] for r in few.select("id").distinct().collect()]  # at most per_label a label
+    ids = spark.createDataFrame([(i,) for i in chosen], rows.select("id").schema)
     sample = rows.join(F.broadcast(ids), "id", "left_semi")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
