@@ -20,11 +20,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path
-from .exact_dedup import content_groups
+from .common import fresh_path, salted_lookup
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,27 +65,40 @@ def records_of(
 
     Of pages whose payloads are equal and of at least ``least`` bytes, the one
     with the largest id is the response and the others revisit it; all smaller
-    payloads are responses.  Null html is empty.  Equality is of content, found
-    as in exact deduplication, so a payload that a third of all pages share is
-    spread by salts.  Rows repeated with one id and payload: one response, the
-    others revisit it.  Null ids come last.
+    payloads are responses.  Null html is empty.  Payloads are equal when their
+    SHA-256 digests are, so choosing the responses moves digests only, with hot
+    ones salted; the pages themselves are dealt once, by id.  Rows repeated with
+    one id and payload: one response, the others revisit it.  Null ids come last.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    # content_groups keeps the least member, so ids go in negated; null ids sort after all others.
-    member = F.struct(F.col(id_col).isNull().alias("none"), (-F.col(id_col)).alias("minus"), F.col(url_col).alias("url"))
-    parts, whole = content_groups(pages, html, member, F.sha1(F.col("content")))
-    rows = parts.join(whole, ["digest", "first"])
-    out = rows.select("content", "first", "keep", F.octet_length("content").alias("size"), "digest", F.posexplode("members").alias("at", "row"))
-    best = (F.col("at") == 0) & F.col("first").eqNullSafe(F.col("keep"))
-    response = best | (F.col("size") < least)
-    return out.select(
-        (-F.col("row.member.minus")).alias("id"),
-        F.col("row.member.url").alias("url"),
-        F.col("digest").alias("sha1"),
-        "size",
-        F.when(~response, -F.col("keep.member.minus")).alias("refers_to"),
+    # The id as text, never null: the join and the window then share one exchange of the pages.
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = pages.select(
+        F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"), key.alias("_key"), F.sha2(html, 256).alias("_sha")
+    )
+    asked = rows.select("_key", "_sha", "id").distinct()
+    best = asked.groupBy("_sha").agg(F.max("id").alias("best"))
+    chosen = salted_lookup(asked, "_sha", F.col("_key"), best).select("_key", "_sha", "best")
+    joined = rows.join(chosen, ["_key", "_sha"])
+    first = F.row_number().over(Window.partitionBy("_key", "_sha").orderBy("url")) == 1
+    size = F.octet_length("html")
+    response = ((F.col("id").eqNullSafe(F.col("best"))) & first) | (size < least)
+    return joined.select(
+        "id",
+        "url",
+        F.sha1("html").alias("sha1"),
+        size.alias("size"),
         response.alias("response"),
-        F.when(response, F.col("content")).alias("html"),
+        "best",
+        "html",
+    ).select(
+        "id",
+        "url",
+        "sha1",
+        "size",
+        F.when(~F.col("response"), F.col("best")).alias("refers_to"),
+        "response",
+        F.when(F.col("response"), F.col("html")).alias("html"),
     )
 
 
@@ -94,7 +106,7 @@ def _open(path: str):
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", files: int | None = None) -> DataFrame:
+def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write ``records_of`` rows as archives in ``path``; returns (archive, bytes, records), lazily."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +127,7 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
         where.move(trial, f"{root}/{final}")
         yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([size]), pa.array([count])], ["archive", "bytes", "records"])
 
-    dealt = records.repartition(files, "id") if files else records.repartition(F.col("id"))
-    return dealt.select("id", "url", "sha1", "size", "refers_to", "response", "html").mapInArrow(run, "archive string, bytes long, records long")
+    return records.select("id", "url", "sha1", "size", "refers_to", "response", "html").mapInArrow(run, "archive string, bytes long, records long")
 
 
 class _Window:
@@ -248,12 +259,12 @@ def read_archives(spark: SparkSession, archives: list[tuple[str, int]], split_by
     return splits.mapInArrow(run, RECORDS)
 
 
-def archive(pages: DataFrame, path: str | None = None, least: int = 0, split_bytes: int = 16 << 20, files: int | None = None, **columns) -> DataFrame:
+def archive(pages: DataFrame, path: str | None = None, least: int = 0, split_bytes: int = 16 << 20, **columns) -> DataFrame:
     """Write ``pages`` as archives and read them back: ``read_archives`` of ``write_archives``.
 
     The list of archives, one entry a writing task, passes through the driver.
     """
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
-    made = write_archives(records_of(pages, least=least, **columns), path, files=files).collect()
+    made = write_archives(records_of(pages, least=least, **columns), path).collect()
     return read_archives(spark, [(f"{path}/{r['archive']}", r["bytes"]) for r in made if r["bytes"]], split_bytes)
