@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .ann import search
 from .bpe import Vocabulary, encoded
 from .chat_format import format_pairs, stale_reply_pairs
-from .common import fresh_path, table
-from .exact_dedup import exact_dedup
+from .common import fresh_path, salted_lookup, table, written
+from .exact_dedup import exact_dedup, normalised
 from .langid import predict, train
 from .mixing import mix_documents
 from .simhash import near_duplicates
@@ -101,12 +101,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = Rollup(spark, fresh_path(spark, "rollup"))
     items = counted(docs)
     rollup.commit("inserts", inserts=items)
-    copies = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("item"))
+    loud = (F.upper("text") == F.col("text")) & (F.lower("text") != F.col("text"))
+    seen = docs.select(
+        "doc_id", "source", "lang", loud.alias("loud"), F.sha2(normalised(F.col("text")), 256).alias("sha")
+    )
+    first = seen.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    marked, _ = written(
+        salted_lookup(seen, "sha", F.col("doc_id"), first).select(
+            F.col("doc_id").alias("item"), "source", "lang", "loud", (F.col("doc_id") != F.col("first")).alias("copy")
+        ),
+        "marked",
+    )
     both = F.explode(F.array(F.lit("words@1"), F.lit("letters@1"))).alias("tokenizer")
-    rollup.commit("copies", deletes=copies.select("item", both))
-    loud = docs.where((F.upper("text") == F.col("text")) & (F.lower("text") != F.col("text"))).select(F.col("doc_id").alias("item"))
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("item"))
-    revised = counted(docs).join(loud, "item", "left_semi").join(kept, "item", "left_semi").withColumn("tokens", F.lit(0).cast("long"))
+    rollup.commit("copies", deletes=marked.where("copy").select("item", both))
+    revised = marked.where("loud and not copy").select("item", "source", "lang", both, F.lit(0).cast("long").alias("tokens"))
     rollup.commit("loud", revisions=revised)
     rollup.commit("inserts", inserts=items)
     return rollup.totals()
