@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import salted_lookup, shuffle_width
 
 # Rules as (verdict, host, path start).
 RULES = (
@@ -78,6 +78,10 @@ def reputations(outcomes: DataFrame, limit: float = 0.5, z: float = 1.645, floor
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     top = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("prior"))
 
+    # Half of all domains share a suffix, and a third of all hosts may share a domain: their priors come by salted lookups.
+    def raised(level: DataFrame, up: str, name: str, above: DataFrame) -> DataFrame:
+        return salted_lookup(level, up, F.col(name), above.select(up, F.col("rate").alias("_up")))
+
     def shrunk(level: DataFrame, prior: Column) -> DataFrame:
         # Moments: the spread of the rates beyond that of binomial counts gives the strength.
         rows = level.withColumn("prior", prior)
@@ -88,14 +92,12 @@ def reputations(outcomes: DataFrame, limit: float = 0.5, z: float = 1.645, floor
         rho = rows.agg((extra / F.when(room > 0, room)).alias("rho"))
         lowest = 1.0 / (1000.0 * floor + 1.0)
         strength = 1.0 / F.least(F.greatest(F.coalesce("rho", F.lit(lowest)), F.lit(lowest)), F.lit(1.0 / (floor + 1.0))) - 1.0
-        out = rows.crossJoin(F.broadcast(rho)).withColumn("strength", strength).drop("rho")  # rho: one row
+        out = rows.withColumn("rho", rho.scalar()).withColumn("strength", strength).drop("rho")
         return out.withColumn("rate", (F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength")))
 
-    by_suffix = shrunk(suffixes.crossJoin(F.broadcast(top.withColumnRenamed("prior", "_top"))), F.col("_top"))  # one row
-    by_domain = shrunk(
-        domains.join(by_suffix.select("suffix", F.col("rate").alias("_up")), "suffix"), F.col("_up")
-    )
-    by_host = shrunk(hosts.join(by_domain.select("domain", F.col("rate").alias("_up")), "domain"), F.col("_up"))
+    by_suffix = shrunk(suffixes, top.scalar())
+    by_domain = shrunk(raised(domains, "suffix", "domain", by_suffix), F.col("_up"))
+    by_host = shrunk(raised(hosts, "domain", "host", by_domain), F.col("_up"))
     total = F.col("n") + F.col("strength")
     spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (total + 1))
     bound = F.greatest(F.col("rate") - F.lit(z) * spread, F.lit(0.0))
