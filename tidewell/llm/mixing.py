@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import word_count
 
-RANGE_BITS = 10
+#: A range is the least that one task takes: at 65,536 a source, a third of 100 TB comes in pieces of half a gigabyte.
+RANGE_BITS = 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0):
