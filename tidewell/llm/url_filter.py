@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_lookup, shuffle_width
+from .common import salted_lookup, shuffle_width, written
 
 # Rules as (verdict, host, path start).
 RULES = (
@@ -67,7 +67,8 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 def reputations(outcomes: DataFrame, limit: float = 0.5, z: float = 1.645, floor: float = 1.0) -> DataFrame:
     """Posterior of each host's bad rate from per-host sums.
 
-    ``outcomes`` has host, n (labelled pages, may be 0) and bad, one row a host.
+    ``outcomes`` has host, n (labelled pages, may be 0) and bad, one row a host;
+    it is read more than once, so it should be a written table.
     Returns host, n, bad, rate, bound and blocked.  Hosts without labels have
     the posterior of their domain's prior.  ``floor`` is the least strength of a
     prior; a level whose outcomes vary no more than binomial counts do is
@@ -79,8 +80,10 @@ def reputations(outcomes: DataFrame, limit: float = 0.5, z: float = 1.645, floor
     top = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("prior"))
 
     # Half of all domains share a suffix, and a third of all hosts may share a domain: their priors come by salted lookups.
+    # Each level reads the one above twice, so that is written, lest the plan double with every level.
     def raised(level: DataFrame, up: str, name: str, above: DataFrame) -> DataFrame:
-        return salted_lookup(level, up, F.col(name), above.select(up, F.col("rate").alias("_up")))
+        rates, _ = written(above.select(up, F.col("rate").alias("_up")), f"{up}-rates")
+        return salted_lookup(level, up, F.col(name), rates)
 
     def shrunk(level: DataFrame, prior: Column) -> DataFrame:
         # Moments: the spread of the rates beyond that of binomial counts gives the strength.
@@ -136,7 +139,8 @@ def judge(
     pairs = known.groupBy("host", "_salt").agg(
         F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad")
     )
-    hosts = pairs.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    pairs, _ = written(pairs, "host-salts")
+    hosts, _ = written(pairs.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "hosts")
     fetched = pairs.select("host", "_salt").join(reputations(hosts, **options), "host")
     rule = rule_for(F.col("host"), F.col("path"), rules)
     return read.join(fetched, ["host", "_salt"]).withColumn("_rule", rule).select(
