@@ -18,8 +18,9 @@ def _grouped(alignments: DataFrame, keys: list[str], order: Column) -> DataFrame
         F.min_by(F.col("flag").bitwiseAND(UNMAPPED), order).alias("_unmapped"),
         F.array_sort(F.collect_list("tid")).alias("txps"),
     )
-    found = found.where((F.col("_unmapped") == 0) & (F.size("txps") > 0))
-    return found.withColumn("_key", parse_key(F.col("read_name"))).where(F.col("_key").isNotNull())
+    # Depending on the aggregates, the key stays above the aggregation: parsed once a read, not once an alignment.
+    kept = (F.col("_unmapped") == 0) & (F.size("txps") > 0)
+    return found.withColumn("_key", F.when(kept, parse_key(F.col("read_name")))).where(F.col("_key").isNotNull())
 
 
 def molecules(alignments: DataFrame, order: Column | None = None) -> DataFrame:
