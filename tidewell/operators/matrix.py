@@ -11,6 +11,9 @@ from ..functions.sequence import key_render
 from .abundance import abundances
 from .molecules import dedup_exact, eqclass_counts, molecules
 
+#: Letters of a padded cell key that name its range.
+PREFIX = 22
+
 
 @dataclass
 class Matrix:
@@ -30,19 +33,30 @@ class Matrix:
 def numbered_cells(found: DataFrame) -> DataFrame:
     """(cell, row, barcode): cells in the order of their packed values.
 
-    The cells of a run are few (a whitelist bounds them), so one window will do.
+    Cells are numbered inside their prefixes, and a running sum over the
+    prefixes gives each its offset, so no task sorts all cells.  Keys are padded
+    on the left: the prefix leaves 10 letters, which makes at most 4,096
+    prefixes of cells of 16 letters.
     """
-    cells = found.select("cell").distinct()
-    return cells.select("cell", F.row_number().over(Window.orderBy("cell")).alias("row"), key_render(F.col("cell")).alias("barcode"))
+    cells = found.select("cell").distinct().withColumn("_prefix", F.left("cell", F.lit(PREFIX)))
+    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cells.groupBy("_prefix").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    here = F.row_number().over(Window.partitionBy("_prefix").orderBy("cell"))
+    placed = cells.withColumn("_here", here).join(offsets, "_prefix")
+    row = (F.col("_ahead") + F.col("_here")).cast("int")
+    return placed.select("cell", row.alias("row"), key_render(F.col("cell")).alias("barcode"))
 
 
 def count_matrix(alignments: DataFrame, transcripts: DataFrame, order=None) -> Matrix:
     """From alignments to the matrix; a cell whose abundances are all below the floor keeps its row.
 
-    One exchange by cell serves distinct molecules, classes and abundances.
+    Molecules are made distinct and counted by their whole keys, each step
+    combining before its exchange, so a cell that holds a third of all molecules
+    is spread; only its classes meet in one task.
     """
-    deduped = dedup_exact(molecules(alignments, order).repartition("cell"))
-    cells = numbered_cells(deduped)
-    alphas = abundances(eqclass_counts(deduped), transcripts)
+    classes = eqclass_counts(dedup_exact(molecules(alignments, order)))
+    cells = numbered_cells(classes)
+    alphas = abundances(classes, transcripts)
     triplets = alphas.join(cells, "cell").select("row", (F.col("tid") + 1).alias("col"), F.col("alpha").alias("value"), "barcode")
     return Matrix(cells, transcripts.select((F.col("tid") + 1).alias("col"), "name"), triplets)
