@@ -48,6 +48,23 @@ def test_warc(spark, pages, split):
     assert warc.archive(pages.limit(0)).collect() == []
 
 
+def test_warc_attempts(spark, pages):
+    """Each attempt has files of its own; what an unlisted one left is removed."""
+    import os
+
+    path = fresh_path(spark, "attempts")
+    here = path.removeprefix("file://")
+    records = warc.records_of(pages)
+    lost, won = (warc.write_archives(records, path).collect() for _ in range(2))
+    assert not {r.archive for r in lost} & {r.archive for r in won}
+    warc.tidy(path, [r.archive for r in won])
+    left = {x for x in os.listdir(here) if x.endswith(".gz")}
+    assert left == {r.archive for r in won}
+    assert all(os.path.getsize(f"{here}/{r.archive}") == r.bytes for r in won)
+    got = warc.read_archives(spark, [(f"{path}/{r.archive}", r.bytes) for r in won if r.bytes])
+    assert sorted(int(r.record_id) for r in got.select("record_id").collect()) == sorted(r.page_id for r in pages.select("page_id").collect())
+
+
 def test_warc_reads_past_junk(spark):
     path = fresh_path(spark, "junk").removeprefix("file://")
     import os

@@ -1,8 +1,9 @@
 """WARC archives: a writer and a splittable reader.
 
-Each record is a gzip member of its own.  A writing task makes one archive; it
-writes under a name of its attempt and renames at the end, so a task that dies
-or runs twice leaves one whole file.  A reading task gets a byte range of an
+Each record is a gzip member of its own.  A writing task makes one archive whose
+name is its attempt's alone, so attempts never replace each other's files; only
+the archives of attempts that finished are listed, each with its own length, and
+the files of all others are removed.  A reading task gets a byte range of an
 archive.  It scans for the gzip magic, accepts a candidate member only if it
 inflates to a WARC header, and owns the records whose members start inside its
 range, the last of which it reads past the range's end.  No index of an archive
@@ -113,10 +114,9 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
         task = TaskContext.get()
         where, root = _open(path)
         where.create_dir(root, recursive=True)
-        final = f"part-{task.partitionId():05d}.warc.gz"
-        trial = f"{root}/.{final}.{task.taskAttemptId()}-{uuid.uuid4().hex}"
+        final = f"part-{task.partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
         count = 0
-        with where.open_output_stream(trial) as out:
+        with where.open_output_stream(f"{root}/{final}") as out:
             for b in batches:
                 for i in range(b.num_rows):  # row by row: one page in memory at a time
                     page, url, sha1, size, refers, response, html = (b.column(c)[i].as_py() for c in range(7))
@@ -124,12 +124,20 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
                     out.write(record(page, url, digest, size, (html or "").encode() if response else None, refers, date))
                     count += 1
             size = out.tell()
-        where.move(trial, f"{root}/{final}")
         yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([size]), pa.array([count])], ["archive", "bytes", "records"])
 
     return records.select("id", "url", "sha1", "size", "refers_to", "response", "html").mapInArrow(run, "archive string, bytes long, records long")
 
 
+def tidy(path: str, listed: list[str]) -> None:
+    """Delete what attempts that aren't ``listed`` left in ``path``."""
+    where, root = _open(path)
+    known = set(listed)
+    for info in where.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if info.is_file and info.base_name not in known:
+            where.delete_file(info.path)
+
+
 class _Window:
     """A forward-moving view of a file, read in pieces."""
 
@@ -267,4 +275,5 @@ def archive(pages: DataFrame, path: str | None = None, least: int = 0, split_byt
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
     made = write_archives(records_of(pages, least=least, **columns), path).collect()
+    tidy(path, [r["archive"] for r in made])
     return read_archives(spark, [(f"{path}/{r['archive']}", r["bytes"]) for r in made if r["bytes"]], split_bytes)
