@@ -116,7 +116,7 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
         where.create_dir(root, recursive=True)
         final = f"part-{task.partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
         count = 0
-        with where.open_output_stream(f"{root}/{final}") as out:
+        with where.open_output_stream(f"{root}/{final}", compression=None) as out:  # members are compressed already
             for b in batches:
                 for i in range(b.num_rows):  # row by row: one page in memory at a time
                     page, url, sha1, size, refers, response, html = (b.column(c)[i].as_py() for c in range(7))
