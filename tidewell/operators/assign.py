@@ -22,15 +22,21 @@ SEGMENTS = ("bc1", "bc2", "bc3", "bc4")
 STATUSES = ("matched", "small", "no_regex", "multi", "ambiguous", "mismatch")
 
 
-def captured(read: Column, chemistry: Chemistry, reverse: bool) -> Column:
+def _searched(read: Column, chemistry: Chemistry, reverse: bool) -> tuple[Column, Column]:
+    """All matches of a strand's pattern, whole and by their leading open ends."""
+    pattern, _ = chemistry.pattern(reverse)
+    return F.regexp_extract_all(read, F.lit(pattern), F.lit(0)), F.regexp_extract_all(read, F.lit(pattern), F.lit(1))
+
+
+def captured(read: Column, chemistry: Chemistry, reverse: bool, searched: tuple[Column, Column] | None = None) -> Column:
     """(n, bc1, bc2, bc3, bc4, umi, seq) by the pattern of a strand; n counts its matches.
 
     Two passes of the pattern: the widths of all parts but the two open ends are
-    fixed, so one open end's length places every part.
+    fixed, so one open end's length places every part.  ``searched`` has the
+    results of both passes, if they are columns already.
     """
-    pattern, names = chemistry.pattern(reverse)
-    whole = F.regexp_extract_all(read, F.lit(pattern), F.lit(0))
-    lead = F.regexp_extract_all(read, F.lit(pattern), F.lit(1))
+    _, names = chemistry.pattern(reverse)
+    whole, lead = searched or _searched(read, chemistry, reverse)
     first, at = F.try_element_at(whole, F.lit(1)), F.length(F.try_element_at(lead, F.lit(1)))
     widths = {f"bc{i + 1}": n for i, n in enumerate(chemistry.segments)} | {"umi": chemistry.umi}
     links = list(chemistry.linkers)[::-1] if reverse else list(chemistry.linkers)
@@ -59,8 +65,21 @@ def _resolved(df: DataFrame, words: DataFrame, stage: str, flip: bool) -> DataFr
     return df.withColumn(f"{stage}_cell", cell_pack(rows)).withColumn(f"{stage}_ambiguous", is_ambiguous(rows)).drop(*names, *out)
 
 
+def with_captures(df: DataFrame, name: str, read: Column, chemistry: Chemistry, reverse: bool) -> DataFrame:
+    """``df`` with ``captured`` in ``name``.
+
+    The passes are columns of a projection of their own: their arrays are used
+    more than once, so the optimiser keeps that projection, where it would copy
+    the passes into each use of a part.
+    """
+    whole, lead = f"{name}_whole", f"{name}_lead"
+    found = _searched(read, chemistry, reverse)
+    df = df.withColumns({whole: found[0], lead: found[1]})
+    return df.withColumn(name, captured(read, chemistry, reverse, (F.col(whole), F.col(lead)))).drop(whole, lead)
+
+
 def _pattern_stage(df: DataFrame, words: DataFrame, chemistry: Chemistry, stage: str, forward: bool, read: Column) -> DataFrame:
-    df = df.withColumn(stage, captured(read, chemistry, not forward))
+    df = with_captures(df, stage, read, chemistry, not forward)
     one = (F.col(f"{stage}.n") == 1) & (F.length(f"{stage}.seq") >= LEAST_CDNA)
     return _resolved(df.withColumn(stage, F.when(one, F.col(stage))), words, stage, forward)
 
@@ -114,7 +133,7 @@ def assign_illumina(pairs: DataFrame, words: DataFrame, chemistry: Chemistry = P
     status is matched, no_regex, multi, ambiguous or mismatch.
     """
     columns = pairs.columns
-    df = pairs.withColumn("_rev", captured(revcomp(F.coalesce(F.col("r1"), F.lit(""))), chemistry, True))
+    df = with_captures(pairs, "_rev", revcomp(F.coalesce(F.col("r1"), F.lit(""))), chemistry, True)
     df = df.withColumn("_n", F.col("_rev.n")).withColumn("_rev", F.when(F.col("_n") == 1, F.col("_rev")))
     df = _resolved(df, words, "_rev", True)
     hit = F.col("_rev_cell").isNotNull()
