@@ -1,4 +1,4 @@
-"""A corpus pipeline of five stages, each by one of the training-data operators.
+"""A corpus pipeline: five of the training-data operators, and near copies by similarity.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.  All stages but the
@@ -15,6 +15,7 @@ from tidewell.llm.common import table, written
 from tidewell.llm.exact_dedup import keep_first
 from tidewell.llm.langid import UNKNOWN, predict, train
 from tidewell.llm.mixing import repeated
+from tidewell.llm.near_copies import without_near_copies
 from tidewell.llm.queries import public_vocabulary
 from tidewell.llm.simhash import representatives
 
@@ -40,6 +41,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return representatives(docs).select(*docs.columns)
 
 
+def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near copies that SimHash at 3 bits leaves: a Jaccard similarity of five-word shingles of 0.8 or more."""
+    return without_near_copies(docs).select(*docs.columns)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each source's documents as often as its target weight asks for."""
     return repeated(docs).select(*docs.columns)
@@ -54,6 +60,7 @@ STAGES = [
     ("language id", language_stage),
     ("exact dedup", exact_stage),
     ("near dedup", near_stage),
+    ("near copies", similar_stage),
     ("mixing", mixing_stage),
     ("bpe", encoding_stage),
 ]

@@ -1,0 +1,95 @@
+import random
+from collections import defaultdict
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from tests.llm.test_simhash import plain_components
+from tidewell.llm import near_copies
+from tidewell.llm.common import table
+
+
+def plain_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b) if a or b else True
+
+
+def expected(rows):
+    sets = [plain_set(t) for _, t in rows]
+    least = {}
+    for (i, t), c in zip(rows, plain_components(sets, alike), strict=True):
+        key = (i is None, i or 0)
+        least[c] = min(least.get(c, (True, 0)), key)
+    return sorted(least.values())
+
+
+def kept(df):
+    return sorted((r.doc_id is None, r.doc_id or 0) for r in df.select("doc_id").collect())
+
+
+def test_small_tables(spark, docs):
+    got = near_copies.without_near_copies(docs)
+    assert got.columns == docs.columns
+    assert kept(got) == expected([(r.doc_id, r.text) for r in docs.collect()])
+    assert near_copies.without_near_copies(docs.limit(0)).collect() == []
+
+
+def test_chains_and_a_crowd(spark, monkeypatch):
+    """Chains whose ends aren't alike, a crowd of copies, and texts that share half of their words."""
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
+    own = random.Random(4)
+    word = lambda: f"w{own.randrange(10**6)}"
+    texts = []
+    for length in (30, 60, 120, 400):
+        for _ in range(6):
+            words = [word() for _ in range(length)]
+            for _ in range(12):
+                texts.append(" ".join(words))
+                for _ in range(max(1, length // 60)):
+                    words[own.randrange(length)] = word()
+    base = [word() for _ in range(200)]
+    for _ in range(60):
+        words = list(base)
+        words[own.randrange(200)] = word()
+        texts.append(" ".join(words))
+    for i in range(60):
+        texts.append(" ".join(base[: 100 + i] + [word() for _ in range(60)]))
+    own.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = expected(rows)
+    assert 30 < len(want) < len(rows) / 2
+    assert kept(near_copies.without_near_copies(df)) == want
+
+
+def test_no_near_copy_survives_the_pipeline(spark):
+    """At 0.001 two pairs of documents with a similarity of 0.83, 7 and 11 bits apart, went on to mixing."""
+    sf = "/root/testdata/sf0.001"
+    ids = {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()}
+    texts = [plain_set(r.text) for r in table(spark, sf, "documents").where(F.col("doc_id").isin(ids)).collect()]
+    assert not any(alike(texts[i], texts[j]) for i in range(len(texts)) for j in range(i))
+    assert len(ids) > 100
+
+
+def test_recall_against_brute_force(spark):
+    """All pairs of 0.01, found by an index of all shingles."""
+    rows = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    index = defaultdict(list)
+    sets = [plain_set(t) for _, t in rows]
+    shared = defaultdict(int)
+    for i, s in enumerate(sets):
+        for h in s:
+            for j in index[h]:
+                shared[j, i] += 1
+            index[h].append(i)
+    near = {(i, j) for (i, j), n in shared.items() if n / (len(sets[i]) + len(sets[j]) - n) >= 0.8}
+    near |= {(i, j) for j in range(len(rows)) for i in range(j) if not sets[i] and not sets[j]}
+    roots = plain_components(range(len(rows)), lambda a, b: (b, a) in near or (a, b) in near)
+    least = defaultdict(lambda: 1 << 62)
+    for (i, _), c in zip(rows, roots, strict=True):
+        least[c] = min(least[c], i)
+    assert [i for _, i in kept(near_copies.without_near_copies(table(spark, "/root/testdata/sf0.01", "documents")))] == sorted(least.values())
