@@ -34,7 +34,7 @@ def expected_warc(rows, least=0):
     return out
 
 
-@pytest.mark.parametrize("split", [100, 5000, 16 << 20])
+@pytest.mark.parametrize("split", [700, 16 << 20])
 def test_warc(spark, pages, split):
     rows = [(r.page_id, r.html) for r in pages.collect()]
     for least in (0, 5):
@@ -49,36 +49,89 @@ def test_warc(spark, pages, split):
 
 
 def test_warc_attempts(spark, pages):
-    """Each attempt has files of its own; what an unlisted one left is removed."""
+    """Each attempt has files of its own; what an unlisted one of the run left is removed, and nothing else."""
     import os
 
     path = fresh_path(spark, "attempts")
     here = path.removeprefix("file://")
+    os.makedirs(here)
+    open(f"{here}/notes.txt", "w").close()
+    other = warc.write_archives(warc.records_of(pages), path).collect()
     records = warc.records_of(pages)
-    lost, won = (warc.write_archives(records, path).collect() for _ in range(2))
+    lost, won = (warc.write_archives(records, path, "run").collect() for _ in range(2))
     assert not {r.archive for r in lost} & {r.archive for r in won}
-    warc.tidy(path, [r.archive for r in won])
-    left = {x for x in os.listdir(here) if x.endswith(".gz")}
-    assert left == {r.archive for r in won}
+    warc.tidy(path, "run", [r.archive for r in won])
+    left = {x for x in os.listdir(here) if not x.endswith(".crc")}
+    assert left == {r.archive for r in won} | {r.archive for r in other} | {"notes.txt"}
     assert all(os.path.getsize(f"{here}/{r.archive}") == r.bytes for r in won)
     got = warc.read_archives(spark, [(f"{path}/{r.archive}", r.bytes) for r in won if r.bytes])
     assert sorted(int(r.record_id) for r in got.select("record_id").collect()) == sorted(r.page_id for r in pages.select("page_id").collect())
+    warc.archive(pages, path)
+    assert "notes.txt" in os.listdir(here)
 
 
-def test_warc_reads_past_junk(spark):
-    path = fresh_path(spark, "junk").removeprefix("file://")
+def _archive_of(spark, data):
     import os
 
+    path = fresh_path(spark, "own").removeprefix("file://")
     os.makedirs(path)
-    one = warc.record(1, "a://b", warc.payload_digest(b"hi"), 2, b"hi", None, "2024-01-01T00:00:00Z")
-    two = warc.record(2, "a://b", warc.payload_digest(b"ho"), 2, b"ho", None, "2024-01-01T00:00:00Z")
-    junk = b"\x1f\x8b\x08junk" + gzip.compress(b"not a header") + one[:30]
     with open(f"{path}/a.warc.gz", "wb") as f:
-        f.write(junk + one + b"xx" + junk + two)
-    size = os.path.getsize(f"{path}/a.warc.gz")
-    for split in (1, 7, 64, size):
-        got = warc.read_archives(spark, [(f"{path}/a.warc.gz", size)], split)
-        assert sorted(int(r.record_id) for r in got.collect()) == [1, 2]
+        f.write(data)
+    return f"{path}/a.warc.gz", len(data)
+
+
+def _one(i, payload=b"hi", url="a://b"):
+    return warc.record(i, url, warc.payload_digest(payload), len(payload), payload, None, "2024-01-01T00:00:00Z")
+
+
+def test_warc_reads_past_junk(spark):
+    junk = b"\x1f\x8b\x08junk" + gzip.compress(b"not a header") + _one(1)[:30]
+    where = _archive_of(spark, junk + _one(1) + b"xx" + junk + _one(2))
+    for split in (1, 7, 64, where[1]):  # every range alone, as a task reads it
+        found, gap = [], [0]
+        for start in range(0, where[1], split):
+            with open(where[0], "rb") as f:
+                found += [head["warc-record-id"] for head, _ in warc._scan(warc._Window(f, where[1]), start, min(start + split, where[1]), gap)]
+        assert found == ["<urn:page:1>", "<urn:page:2>"] and gap == [2 * len(junk) + 2]
+    got = warc.read_archives(spark, [where], 100)
+    assert sorted(int(r.record_id) for r in got.collect()) == [1, 2]
+    assert warc.skipped_bytes(spark, [where], 100) == 2 * len(junk) + 2
+    with pytest.raises(Exception, match="belong to no valid member"):
+        warc.read_archives(spark, [where], 100, strict=True).collect()
+
+
+def test_warc_members_and_headers(spark):
+    """Several records in a member, folded and odd header lines, and other kinds of records."""
+    whole = gzip.compress(gzip.decompress(_one(1)) + gzip.decompress(_one(2, b"x" * 500000)) + gzip.decompress(_one(3)))
+    folded = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: a://\r\n b\r\nodd\r\nWARC-Record-ID: <urn:page:4>\r\nContent-Length: 6\r\n\r\n\r\n\r\nok\r\n\r\n")
+    info = gzip.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n")
+    where = _archive_of(spark, info + whole + folded + _one(5))
+    for split in (150, 1 << 20):
+        got = warc.read_archives(spark, [where], split, strict=True).collect()
+        assert sorted((r.record_id or "", r.record_type, r.payload_bytes) for r in got) == [
+            ("", "warcinfo", None), ("1", "response", 2), ("2", "response", 500000), ("3", "response", 2), ("4", "response", 2), ("5", "response", 2),
+        ]
+        assert [r.target_uri for r in got if r.record_id == "4"] == ["a:// b"]
+    with pytest.raises(Exception, match="isn't compressed"):
+        warc.read_archives(spark, [_archive_of(spark, gzip.decompress(_one(1)))]).collect()
+    cut = _archive_of(spark, _one(1) + _one(2)[:-5])
+    assert [r.record_id for r in warc.read_archives(spark, [cut]).collect()] == ["1"] and warc.skipped_bytes(spark, [cut]) == len(_one(2)) - 5
+    with pytest.raises(Exception, match="1 records read of 2 written"):
+        warc.read_archives(spark, [(*cut, [2])]).collect()
+
+
+def test_warc_long_urls_and_null_ids(spark):
+    own = __import__("random").Random(8)
+    url = "h://" + "".join(own.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=2_000_000))
+    rows = [(1, url, "p"), (None, url, "p"), (None, None, "q"), (None, None, "q"), (2, "", None), (3, "a b%\r\nc", "p")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = sorted(((r.record_id, r.record_type, r.refers_to, r.target_uri) for r in warc.archive(df).collect()), key=str)
+    assert got == sorted(
+        [("1", "revisit", "3", url), (None, "revisit", "3", url), (None, "response", None, None), (None, "revisit", None, None), ("2", "response", None, ""), ("3", "response", None, "a%20b%%0D%0Ac")],
+        key=str,
+    )
+    named = df.select(F.col("page_id").cast("string"), "url", "html").unionByName(spark.createDataFrame([("", "u", "p"), ("x>\n%", "u", "z")], df.select(F.col("page_id").cast("string"), "url", "html").schema))
+    assert sorted(str(r.record_id) for r in warc.archive(named).collect()) == ["", "1", "2", "3", "None", "None", "None", "x>\n%"]
 
 
 def test_warc_query(spark):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +49,39 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _scopes(spark: SparkSession) -> list[list[str]]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_tidewell_scopes"):
+        sc._tidewell_scopes = []
+    return sc._tidewell_scopes
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables made inside, at the end; what is still read must be written outside."""
+    scopes = _scopes(spark)
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            discard(spark, path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is there goes with the enclosing ``scratch``, or when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    if _scopes(spark):
+        _scopes(spark)[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -64,9 +97,8 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of ``written`` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
 
 
 def salted_lookup(
