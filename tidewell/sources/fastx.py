@@ -18,6 +18,10 @@ BATCH = 4096
 
 
 def opened(path: str):
+    """The file system of a path and the path in it; Hadoop's names of S3 are known too."""
+    for name in ("s3a://", "s3n://"):
+        if path.startswith(name):
+            path = "s3://" + path.removeprefix(name)
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
