@@ -1,4 +1,4 @@
-"""A corpus pipeline: five of the training-data operators, and near copies by similarity.
+"""A corpus pipeline: five of the training-data operators.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.  All stages but the
@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import encoded
-from tidewell.llm.common import table, written
+from tidewell.llm.common import discard, fresh_path, scratch, table
 from tidewell.llm.exact_dedup import keep_first
 from tidewell.llm.langid import UNKNOWN, predict, train
 from tidewell.llm.mixing import repeated
-from tidewell.llm.near_copies import without_near_copies
 from tidewell.llm.queries import public_vocabulary
 from tidewell.llm.simhash import representatives
 
@@ -24,35 +23,40 @@ LEAST_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a language go."""
-    columns = docs.columns
+    """Language ID: documents without a language go.
+
+    So do null and empty texts and those without a letter.  Null ids don't train.
+    """
     model = train(docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(False))))
-    seen = predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return seen.select(*columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return predict(packed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact deduplication: of equal texts one document stays."""
-    return keep_first(docs).select(*docs.columns)
+    """Exact deduplication: of equal texts the document with the smallest id stays, a null id being the smallest."""
+    return keep_first(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-deduplication: one document of each component stays."""
-    return representatives(docs).select(*docs.columns)
-
+    """SimHash near-deduplication: one document of each component stays.
 
-def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies that SimHash at 3 bits leaves: a Jaccard similarity of five-word shingles of 0.8 or more."""
-    return without_near_copies(docs).select(*docs.columns)
+    Fingerprints of two-word shingles within 10 bits propose, the exact
+    similarity of five-word shingles, 0.8 or more, decides.  The smallest id
+    stays, a null one being the largest; wordless texts are one component.
+    """
+    return representatives(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: each source's documents as often as its target weight asks for."""
-    return repeated(docs).select(*docs.columns)
+    """Mixing: each source's documents as often as its target weight asks for.
+
+    Null sources are one source, the last; texts without words are left out.
+    """
+    return repeated(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: each document as token ids, with digests of ids and decoded bytes."""
+    """Byte-level BPE: each document as token ids, with digests of ids and decoded bytes; null text has none."""
     return encoded(docs, public_vocabulary(), ids=True).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
@@ -60,7 +64,6 @@ STAGES = [
     ("language id", language_stage),
     ("exact dedup", exact_stage),
     ("near dedup", near_stage),
-    ("near copies", similar_stage),
     ("mixing", mixing_stage),
     ("bpe", encoding_stage),
 ]
@@ -70,8 +73,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's own tables go once its result is written."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            made, before = stage(spark, docs, sf_dir), path
+            path = fresh_path(spark, name.replace(" ", "-"), scoped=False)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            discard(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

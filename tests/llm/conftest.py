@@ -19,7 +19,7 @@ def docs(spark):
         (0, "le renard brun saute par dessus le chien paresseux", "fr", "a", 1),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for name in ("digest", "content", "members", "size", "taken", "f", "d", "score", "ids", "_key", "kept", "keep_id"):
+    for name in ("digest", "content", "members", "size", "taken", "f", "d", "score", "ids", "_key", "kept", "keep_id", "_id", "_sha", "_f", "_doc", "_salt", "row", "d", "t", "sha", "id", "stays", "times", "mark", "n", "key", "salt", "content", "member", "words", "label", "rank", "text_sha256", "n_tokens", "_source", "_range", "_name"):
         from pyspark.sql import functions as F
 
         df = df.withColumn(name, F.lit("clash"))

@@ -52,9 +52,6 @@ def test_near_duplicates(spark, docs):
         got = sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect())
         assert got == expected(rows)
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
-    kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns
-    assert kept.count() == len({c for *_, c in expected([(r.doc_id, r.text) for r in docs.collect()])})
 
 
 def test_links_of_dense_groups(spark):

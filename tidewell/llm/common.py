@@ -74,12 +74,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             discard(spark, path)
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is there goes with the enclosing ``scratch``, or when the driver ends."""
+def fresh_path(spark: SparkSession, name: str, scoped: bool = True) -> str:
+    """A new path in the shared folder; what is there goes with the enclosing ``scratch``, if ``scoped``, or when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     fs, at = _file_system(spark, path)
     fs.deleteOnExit(at)
-    if _scopes(spark):
+    if scoped and _scopes(spark):
         _scopes(spark)[-1].append(path)
     return path
 
@@ -118,3 +118,20 @@ def salted_lookup(
     present = left.where(F.col(key).isNotNull()).select(key, "_salt").distinct()
     fetched = present.join(right, key, "inner")
     return left.join(fetched, [key, "_salt"], how).drop("_salt")
+
+
+def without(df: DataFrame, fates: DataFrame, *keys) -> DataFrame:
+    """The rows of ``df`` that stay, all columns as they are.
+
+    ``fates`` tells of the ``keys`` of rows, in its first columns, whether they
+    stay and how many rows share them; of several that stay one does.  The rows
+    themselves move only if those that go are too many to be broadcast.
+    """
+    names = fates.columns[: len(keys)]
+    fates, _ = written(fates.where("not stays or times > 1"), "fates")
+    packed = df.select(F.struct(*df.columns).alias("row"), *[k.alias(n) for k, n in zip(keys, names, strict=True)])
+    out = packed.join(fates, names, "left_anti")
+    again = fates.where("stays")
+    if not again.isEmpty():
+        out = out.unionByName(packed.join(again, names, "left_semi").dropDuplicates(names))
+    return out.select("row.*")

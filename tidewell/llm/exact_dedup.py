@@ -9,8 +9,9 @@
    globally by digest.
 
 The content itself is a grouping key of every stage, so rows whose digests
-collide stay apart.  Neither stage collects a whole group: a list holds the
-ids of one salt, and the global stage sees one row per salt.
+collide stay apart.  Neither stage collects a whole group: the salts grow with
+the table, so that a list holds about ``LISTED`` ids of one salt at most, even if
+all rows were copies of one text, and the global stage sees one row per salt.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, shuffle_width
+from .common import SPACE, shuffle_width, without
+
+LISTED = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -35,11 +38,12 @@ def content_groups(df: DataFrame, content: Column, member: Column, digest: Colum
     its ``digest``) to ``keep``, the least member of the whole group, and
     ``size``.  ``member`` must be orderable; null members sort first.
     """
-    salts = salts or shuffle_width(df.sparkSession)
+    salts = salts or max(shuffle_width(df.sparkSession), -(-df.count() // LISTED))
     rows = df.select(content.alias("content"), member.alias("member")).withColumn("digest", digest)
-    salted = rows.groupBy(
-        "digest", F.pmod(F.xxhash64("member"), F.lit(salts)).cast("int").alias("salt"), "content"
-    ).agg(F.array_sort(F.collect_list(F.struct("member"))).alias("members"))
+    # Null members would all have one salt: their place in the scan spreads them.
+    spread = F.when(F.col("member").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("member"))
+    rows = rows.withColumn("salt", F.pmod(spread, F.lit(salts)).cast("int"))
+    salted = rows.groupBy("digest", "salt", "content").agg(F.array_sort(F.collect_list(F.struct("member"))).alias("members"))
     parts = salted.select("digest", "content", "members", F.col("members")[0].alias("first"))
     whole = (
         parts.groupBy("digest", "content")
@@ -85,11 +89,10 @@ def exact_dedup(
 
 
 def keep_first(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that ``exact_dedup`` keeps, with all their columns."""
-    # The id as text, never null: the join and the last step then share one exchange of the rows.
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    marked = exact_dedup(df, text_col, id_col).where("kept").select(key.alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = df.withColumn("_id", key).withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    met = keyed.join(marked, ["_id", "_sha"], "left_semi")
-    # Rows repeated with the same id and text meet here; one of them stays.
-    return met.dropDuplicates(["_id", "_sha"]).select(*df.columns)
+    """The rows of ``df`` that ``exact_dedup`` keeps, with all their columns, whatever their names.
+
+    Of rows repeated with one id and text one stays.
+    """
+    key, sha = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("")), F.sha2(normalised(F.col(text_col)), 256)
+    marked = exact_dedup(df, text_col, id_col).select(key.alias("id"), F.col("text_sha256").alias("sha"), "kept")
+    return without(df, marked.groupBy("id", "sha").agg(F.max("kept").alias("stays"), F.count("*").alias("times")), key, sha)

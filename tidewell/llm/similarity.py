@@ -1,17 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles.
-
-Two texts are near copies if the sets of their five-word shingles have a
-Jaccard similarity of 0.8 or more.  Candidates are texts that agree in one of
-``BANDS`` bands of ``ROWS`` MinHash values: of pairs at 0.8 one in 60,000 meets
-in no band, of more similar ones fewer.  Every candidate is decided by its exact
-similarity.  (SimHash fingerprints of such pairs lie up to 17 of 64 bits apart,
-too far for probes by the pigeonhole principle.)
-
-Texts of equal sets are one node.  Each band's bucket first compares all its
-nodes to its least one.  What these links leave in different components of one
-bucket is then compared set by set, in blocks: each set visits every block of its
-bucket and links leave as a forest, so no pair is ever moved.  A bucket of copies
-is linear, others take a visit per ``BLOCK`` sets; no link of a bucket is lost.
+"""Exact similarity of word shingles inside buckets of candidates.
+
+Two texts are similar if the sets of their five-word shingles have a Jaccard
+similarity of 0.8 or more.  Candidates come in buckets, as SimHash components
+are.  Each bucket first compares all its nodes to its least one.  What these
+links leave in different components of one bucket is then compared set by set,
+in blocks: each set visits every block of its bucket and links leave as a
+forest, so no pair is ever moved.  A bucket of copies is linear, others take a
+visit per ``BLOCK`` sets; no link of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -25,14 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import salted_lookup, written
 from .components import components
-from .simhash import NO_ID
-
-BANDS, ROWS = 28, 5
 #: About how many sets of a bucket a task holds while the bucket's others visit.
 BLOCK = 500
 
-_FACTORS = np.random.default_rng(7).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-
 
 def shingles(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles.
@@ -54,35 +44,6 @@ def shingles(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(starts)))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A signed long for each band of the set's MinHash values; none for an empty set."""
-    import xxhash
-
-    if not len(hashes):
-        return []
-    low = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
-    for at in range(0, len(low), 4096):
-        np.minimum(least, (_FACTORS[:, None] * low[None, at : at + 4096]).min(1), out=least)
-    keys = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
-def _sketched(rows: DataFrame) -> DataFrame:
-    """(d, t, f, size, keys) of (d, t, text): f is a digest of the shingle set, size its number."""
-    import xxhash
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = (shingles(x.as_py()) for x in b.column(2))
-            made = [(xxhash.xxh64_intdigest(s.tobytes()), len(s), band_keys(s)) for s in sets]
-            f = np.array([m[0] for m in made], np.uint64).view(np.int64)
-            size, keys = pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f), size, keys], ["d", "t", "f", "size", "keys"])
-
-    return rows.mapInArrow(run, "d long, t long, f long, size long, keys array<long>")
-
-
 def _sets(rows: DataFrame) -> DataFrame:
     """(f, hashes) of (f, text)."""
 
@@ -97,7 +58,7 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 def _alike(a: str, b: str, similarity: float) -> Column:
     """Whether sets of these sizes can be that similar."""
-    return F.least(a, b) / F.greatest(a, b) >= similarity
+    return (F.least(a, b) > 0) & (F.least(a, b) >= similarity * F.greatest(a, b))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -106,7 +67,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     one = salted_lookup(pairs, "uf", F.col("vf"), sets.select(F.col("f").alias("uf"), F.col("hashes").alias("a")))
     two = salted_lookup(one, "vf", F.col("uf"), sets.select(F.col("f").alias("vf"), F.col("hashes").alias("b")))
     both = F.size(F.array_intersect("a", "b"))
-    return two.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
+    return two.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
 class _Block:
@@ -132,7 +93,7 @@ class _Block:
         n = high - low
         at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         both = np.bincount(self.owner[at], minlength=len(self.home))
-        for i in np.flatnonzero(both / (self.sizes + len(hashes) - both) >= self.similarity).tolist():
+        for i in np.flatnonzero((both > 0) & (both >= self.similarity * (self.sizes + len(hashes) - both))).tolist():
             other, its, _ = self.home[i]
             a, b = self.root(root), self.root(its)
             if a != b:
@@ -169,12 +130,13 @@ def _crossed(similarity: float):
     return run
 
 
-def links(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) that connect whatever all near copies among the candidates connect.
+def similar_links(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) that connect whatever the similar pairs of each bucket connect.
 
-    ``nodes`` has n (struct of d, f and t), size and keys; ``rows`` the texts, by d and t.
+    ``nodes`` has n (struct of d, f and t; f unique), size and key, its bucket;
+    ``rows`` the texts, by d and t.
     """
-    listed = nodes.select("n", "size", F.explode("keys").alias("key"))
+    listed = nodes.select("n", "size", "key")
     least = listed.groupBy("key").agg(F.min(F.struct("n", "size")).alias("_v"), F.count("*").alias("members")).where("members > 1")
     met = salted_lookup(listed, "key", F.col("n.f"), least)
     met, _ = written(met.select("key", "n", "size", F.col("_v.n").alias("v"), F.col("_v.size").alias("v_size"), "members"), "buckets")
@@ -197,30 +159,3 @@ def links(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     node = lambda x: F.struct(F.col(x + "d").alias("d"), F.col(x + "f").alias("f"), F.col(x + "t").alias("t")).alias(x)
     more = made.select(node("u"), node("v")).distinct()
     return found.unionByName(more)
-
-
-def without_near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = 0.8) -> DataFrame:
-    """The rows of ``df`` that stay: of each component of near copies the row with the smallest id.
-
-    Wordless and null texts are copies of each other and of nothing else; null
-    ids count as larger than any id; of rows repeated with one id and text one
-    stays.  ``df`` is read more than once, so it should be a written table.  An
-    empty table gives an empty result.
-    """
-    d, t = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(text_col)
-    rows = df.select(d.alias("d"), t.alias("t"), F.col(text_col).alias("text"))
-    marked, _ = written(_sketched(rows), "sketches")
-    nodes = marked.groupBy("f").agg(F.min(F.struct("d", "t")).alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    nodes, _ = written(nodes.select(F.struct("low.d", "f", "low.t").alias("n"), "size", "keys"), "nodes")
-    roots = components(links(nodes, rows, similarity))
-    known = nodes.select("n").join(roots.withColumnRenamed("node", "n"), "n", "left").select("n.f", F.coalesce("root", "n").alias("root"))
-    own = (F.col("root.d") == F.col("d")) & (F.col("root.t") == F.col("t"))
-    fates = salted_lookup(marked.select("d", "t", "f"), "f", F.col("d"), known)
-    fates = fates.groupBy("d", "t").agg(F.first(own).alias("stays"), F.count("*").alias("times")).where("not stays or times > 1")
-    fates, _ = written(fates.select(F.col("d").alias("_d"), F.col("t").alias("_t"), "stays"), "fates")
-    keyed = df.withColumn("_d", d).withColumn("_t", t)
-    once = keyed.join(fates, ["_d", "_t"], "left_anti")
-    again = fates.where("stays")
-    if not again.isEmpty():
-        once = once.unionByName(keyed.join(again, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]))
-    return once.select(*df.columns)
