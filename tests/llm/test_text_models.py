@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,7 @@ from tidewell.llm import queries
 from tidewell.llm.ann import search
 from tidewell.llm.bpe import PerfectHash, codec, decoded, encoded
 from tidewell.llm.common import table
-from tidewell.llm.langid import predict, train
+from tidewell.llm.langid import fit, grams, predict, train
 
 SF = "/root/testdata/sf0.01"
 
@@ -62,6 +63,72 @@ def test_language_id(spark, docs):
     assert predict(docs.limit(0), model).collect() == []
 
 
+def plain_ftrl(examples, idf, size, labels, alpha=0.5, beta=1.0, l1=0.02, l2=0.1):
+    """Dense weights, one coordinate after the other, by the update rule as published."""
+    k = len(labels)
+    z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))
+
+    def weight(i, c):
+        if abs(z[i, c]) <= l1:
+            return 0.0
+        return -(z[i, c] - np.sign(z[i, c]) * l1) / ((beta + np.sqrt(n[i, c])) / alpha + l2)
+
+    for _ in range(2):
+        for label, counts in examples:
+            x = {i: (1 + np.log(v)) * idf[i] for i, v in counts.items()}
+            norm = np.sqrt(sum(v * v for v in x.values()))
+            x = {i: v / norm for i, v in x.items()} | {size: 1.0}
+            w = {i: [weight(i, c) for c in range(k)] for i in x}
+            s = np.array([sum(v * w[i][c] for i, v in x.items()) for c in range(k)])
+            p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+            for i, v in x.items():
+                for c in range(k):
+                    g = (p[c] - (labels[c] == label)) * v
+                    z[i, c] += g - (np.sqrt(n[i, c] + g * g) - np.sqrt(n[i, c])) / alpha * w[i][c]
+                    n[i, c] += g * g
+    return np.array([[weight(i, c) for c in range(k)] for i in range(size + 1)])
+
+
+def test_language_model_against_plain_training(spark):
+    """Document frequencies, sample, weights, temperature and scores, all rebuilt on the driver."""
+    rows = [r for r in table(spark, SF, "documents").where("length(text) between 40 and 400 and lang is not null").orderBy("doc_id").limit(60).collect()]
+    df = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id long, text string, lang string").repartition(3)
+    model = train(df, bits=10)
+    counts = {r.doc_id: dict(zip(*(v.tolist() for v in grams(r.text, 10)), strict=True)) for r in rows}
+    idf = {i: np.log((1 + len(rows)) / (1 + sum(i in c for c in counts.values()))) + 1 for i in range(1024)}
+    order = [r.doc_id for r in df.orderBy(F.xxhash64("doc_id", "text")).collect()]
+    lang = {r.doc_id: r.lang for r in rows}
+    labels = sorted(set(lang.values()))
+    assert model.labels == labels and len(labels) > 2
+    learn = [(lang[i], counts[i]) for at, i in enumerate(order) if at % 5 != 4]
+    want = plain_ftrl(learn, idf, 1024, labels)
+    dense = np.zeros((1024, len(labels)))
+    dense[model.row >= 0] = model.weights[model.row[model.row >= 0]]
+    assert np.allclose(dense, want[:-1], atol=1e-9) and np.allclose(model.bias, want[-1], atol=1e-9)
+    assert 0 < len(model.weights) < 1024 and (model.weights != 0).any(1).all()
+    for r in predict(df, model).collect():
+        x = np.array([(1 + np.log(v)) * idf[i] for i, v in counts[r.doc_id].items()])
+        s = (x / np.sqrt(x @ x) @ want[list(counts[r.doc_id])] + want[-1]) / model.temperature
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        assert r.lang_pred == labels[int(np.argmax(p))] and abs(r.score - p.max()) < 1e-9
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Repeated rows, one label, rare labels and a byte budget; never more than asked for, and never none."""
+    from tidewell.llm import langid
+
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda examples, *a, **k: seen.append(examples) or fit(examples, *a, **k))
+    rows = [(i, f"mot {i} de plus", "fr") for i in range(300)] + [(7, "the same words", "en")] * 3000 + [(8, "una parola", "it"), (9, None, "it"), (None, "x", "it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    train(df, per_label=10)
+    train(df, per_label=10, sample_bytes=300)
+    train(df.where("lang = 'en'"), per_label=10)
+    many = [Counter(e[0] for e in examples) for examples in seen]
+    assert many[0] == {"fr": 10, "en": 1, "it": 1} and many[2] == {"en": 1}
+    assert 1 <= many[1]["fr"] < 10 and many[1]["en"] == many[1]["it"] == 1
+
+
 def plain_search(vectors, queries_, top):
     out = {}
     for q, v in queries_:
