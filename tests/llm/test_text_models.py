@@ -4,11 +4,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from tidewell.llm import queries
-from tidewell.llm.ann import search
+from tidewell.llm.ann import reranked, search, visits
 from tidewell.llm.bpe import PerfectHash, codec, decoded, encoded
 from tidewell.llm.common import table
 from tidewell.llm.langid import fit, grams, predict, train
@@ -137,12 +138,14 @@ def plain_search(vectors, queries_, top):
     return out
 
 
-def test_nearest_neighbours(spark):
-    rows = table(spark, SF, "embeddings").collect()
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_nearest_neighbours(spark, sf):
+    sf = f"/root/testdata/sf{sf}"
+    rows = table(spark, sf, "embeddings").collect()
     vectors = [(r.vec_id, np.array(r.embedding, float)) for r in rows]
     want = plain_search(vectors, [x for x in vectors if x[0] % 20 == 0], 20)
     got = {}
-    for r in queries.op8_nearest_neighbours(spark, SF).orderBy("query_id", "rank").collect():
+    for r in queries.op8_nearest_neighbours(spark, sf).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.score, r.vec_id))
         assert r["rank"] == len(got[r.query_id])
     assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
@@ -156,6 +159,34 @@ def test_nearest_neighbours(spark):
     assert hit / sum(map(len, want.values())) >= 0.9
 
 
+def test_only_visited_cells_are_multiplied(spark):
+    """Vectors that cluster: a small share of rows is multiplied; the walk takes cells in order."""
+    own = np.random.default_rng(3)
+    centres = own.normal(size=(40, 16))
+    x = centres[own.integers(0, 40, 3000)] + own.normal(size=(3000, 16)) * 0.1
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    asked = df.where("vec_id % 30 = 0")
+    found, work, index = reranked(df, asked, 20, "vec_id", "embedding", 64, None, 0.93, 20_000, 500)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    hit = sum(len(got[q] & set(np.argsort(-scores[q])[:20].tolist())) for q in got)
+    assert hit / 2000 >= 0.9 and index.share <= 0.2 and len(index.members) > 3
+    multiplied = work.agg(F.sum("multiplied")).first()[0]
+    assert multiplied <= 100 * (index.share * 3000 + 500)
+    first, second, held = own.normal(size=9), own.normal(size=40), own.integers(0, 3, (9, 40))
+    sums = np.sort((first[:, None] + second[None, :]).ravel())
+    depth = visits(first, second, held, 60)
+    order = np.argsort(second, kind="stable")
+    seen = [(i, j) for i in range(9) for j in order[: depth[i]]]
+    assert sum(held[i, j] for i, j in seen) >= 60
+    # All cells before the last tile's are visited, and no tile begins after the last one popped.
+    last = max(first[i] + second[order[(depth[i] - 1) // 16 * 16]] for i in range(9) if depth[i])
+    assert {(i, j) for i in range(9) for j in range(40) if first[i] + second[j] < last} <= set(seen) and last <= sums[-1]
+
+
 def test_nearest_neighbours_edges(spark):
     own = np.random.default_rng(0)
     rows = [(i, own.normal(size=6).tolist()) for i in range(300)]

@@ -4,16 +4,21 @@ The two halves of a vector are quantised separately, each to one of ``k``
 centroids; a vector's cell is its pair of centroids.  A query visits cells in
 the order of summed distance (for the inner product: the least summed negative
 product of its halves with the centroids), walked with a heap, until the
-visited cells hold ``visit`` of all rows.  Every entry of a visited cell is
+visited cells hold a share of all rows.  Only entries of visited cells are
 reranked by the exact score, and the best ``top`` stay.
 
+The share is calibrated: the least of ``SHARES`` whose cells hold ``recall`` of
+the true neighbours of some queries among a bounded sample of rows.  Vectors that
+cluster need few cells; those that hardly do need many.
+
 Rows with equal vectors are one entry, which keeps only the ``top`` + 1
 smallest ids: no query can return more of them, so nothing is lost and a vector
 that a third of all rows share costs no more than another.
 
-Entries are dealt to shards, by their first centroid and in blocks of about
-``block`` rows; a query goes to the shards that its cells lie in.  A task
-holds one block and streams the queries past it.
+Entries are dealt to shards, runs of neighbouring first centroids that hold
+about ``block`` rows, the fuller ones in several blocks; a query goes to the
+shards that its cells lie in.  A task holds one block and streams the queries
+past it.
 """
 
 from __future__ import annotations
@@ -23,10 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, written
+from .common import written
+
+SHARES = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7)
+#: Cells of a row of the walk that leave the heap together.
+TILE = 16
+#: Queries of the calibration.
+ASKED = 200
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -49,42 +60,76 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.argmin((centre**2).sum(1)[None, :] - 2 * (x @ centre.T), axis=1)
 
 
-def visits(first: np.ndarray, second: np.ndarray, held: np.ndarray, need: float) -> list[tuple[int, int]]:
-    """Cells by increasing summed distance until they hold ``need`` rows.
+def visits(first: np.ndarray, second: np.ndarray, held: np.ndarray, need: float) -> np.ndarray:
+    """How far each row of cells is visited until ``need`` rows are held: cells by increasing summed distance.
 
     ``first`` and ``second`` are the distances of a query's halves to the
-    centroids, ``held`` the rows of each cell.  The heap has a pair once its
-    neighbours before it are out, so it never holds more than one a row.
+    centroids, ``held`` the rows of each cell.  Row i of the result counts the
+    visited cells of first centroid i, which are the nearest by ``second``.  The
+    heap holds the next tile of each row that the walk has reached, and a row is
+    reached when the row before it is, so it never holds more than one a row.
     """
-    a, b = np.argsort(first, kind="stable").tolist(), np.argsort(second, kind="stable").tolist()
+    a, b = np.argsort(first, kind="stable").tolist(), np.argsort(second, kind="stable")
     fa, sb = first[a].tolist(), second[b].tolist()
-    rows = held[np.ix_(a, b)].tolist()
-    heap, got, out = [(fa[0] + sb[0], 0, 0)], 0, []
+    depth, got, k = np.zeros(len(a), np.int32), 0, len(sb)
+    heap = [(fa[0] + sb[0], 0, 0)]
     while heap and got < need:
         _, i, j = heapq.heappop(heap)
-        if rows[i][j]:
-            out.append((a[i], b[j]))
-            got += rows[i][j]
+        stop = min(j + TILE, k)
+        got += int(held[a[i], b[j:stop]].sum())
+        depth[a[i]] = stop
         if j == 0 and i + 1 < len(a):
             heapq.heappush(heap, (fa[i + 1] + sb[0], i + 1, 0))
-        if j + 1 < len(b):
-            heapq.heappush(heap, (fa[i] + sb[j + 1], i, j + 1))
-    return out
+        if stop < k:
+            heapq.heappush(heap, (fa[i] + sb[stop], i, stop))
+    return depth
 
 
 class Index:
     """Centroids and the directory of cells (``k`` squared counts); fixed size."""
 
-    def __init__(self, centres: tuple[np.ndarray, np.ndarray], dim: int, block: int):
-        self.centres, self.dim, self.half, self.block = centres, dim, dim // 2, block
+    def __init__(self, centres: tuple[np.ndarray, np.ndarray], dim: int):
+        self.centres, self.dim, self.half = centres, dim, dim // 2
         self.held = np.zeros((len(centres[0]), len(centres[1])), np.int64)
+        self.share = 1.0
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return nearest(x[:, : self.half], self.centres[0]), nearest(x[:, self.half :], self.centres[1])
 
-    def blocks(self) -> np.ndarray:
-        """Blocks of each shard."""
-        return np.maximum(1, -(-self.held.sum(1) // self.block))
+    def distances(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a query's halves to the centroids; the same wherever they are computed."""
+        return -(self.centres[0] * q[None, : self.half]).sum(1), -(self.centres[1] * q[None, self.half :]).sum(1)
+
+    def calibrate(self, x: np.ndarray, top: int, recall: float) -> None:
+        """Set the least share that keeps ``recall`` of the true neighbours of the first rows among all of ``x``."""
+        asked = x[:ASKED]
+        exact = asked @ x.T
+        exact[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+        true = np.argsort(-exact, axis=1, kind="stable")[:, : min(top, len(x) - 1)]
+        i, j = self.cells(x)
+        by_cell = (asked[:, : self.half] @ self.centres[0].T)[:, i] + (asked[:, self.half :] @ self.centres[1].T)[:, j]
+        place = np.empty_like(exact, dtype=np.int64)
+        np.put_along_axis(place, np.argsort(-by_cell, axis=1, kind="stable"), np.arange(len(x))[None, :].repeat(len(asked), 0), axis=1)
+        place = np.take_along_axis(place, true, axis=1)
+        self.share = next((s for s in SHARES if place.size and (place < s * len(x)).mean() >= recall), 1.0)
+
+    def deal(self, block: int) -> None:
+        """Shards of neighbouring first centroids with about ``block`` rows, and how many blocks each has."""
+        rows = self.held.sum(1)
+        away = self.centres[0] - self.centres[0].mean(0)
+        order = np.argsort(away @ np.linalg.svd(away, full_matrices=False)[2][0], kind="stable")
+        self.shard, self.place = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        self.members: list[np.ndarray] = [[]]
+        full = 0
+        for i in order.tolist():
+            if full and full + rows[i] > block:
+                self.members.append([])
+                full = 0
+            self.shard[i], self.place[i] = len(self.members) - 1, len(self.members[-1])
+            self.members[-1].append(i)
+            full += rows[i]
+        self.members = [np.array(m, np.int64) for m in self.members]
+        self.blocks = np.array([max(1, -(-int(rows[m].sum()) // block)) for m in self.members])
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -99,27 +144,35 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def entries(df: DataFrame, id_col: str, vector_col: str, top: int) -> DataFrame:
     """(ids, v): the distinct usable vectors, each with its ``top`` + 1 smallest ids.
 
-    Salted, so that the copies of one vector don't meet in one task.
+    The ranks are limited in each task before the exchange, so the copies of one
+    vector neither meet nor are listed beyond ``top`` + 1 a task.
     """
-    rows = usable(df, id_col, vector_col)
-    salt = F.pmod(F.xxhash64("id"), F.lit(shuffle_width(df.sparkSession)))
-    least = lambda ids: F.slice(F.array_sort(ids), 1, top + 1)
-    some = rows.groupBy("v", salt.alias("salt")).agg(least(F.collect_list("id")).alias("ids"))
-    return some.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
+    rows = usable(df, id_col, vector_col).distinct()
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    few = rows.withColumn("n", place).where(F.col("n") <= top + 1)
+    return few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def build(rows: DataFrame, dim: int, k: int, sample: int, block: int) -> tuple[Index, DataFrame]:
-    """Fit the index on at most ``sample`` vectors, taken by hash, and assign every entry its cell."""
+def build(rows: DataFrame, dim: int, top: int, k: int, sample: int, block: int, visit: float | None, recall: float) -> tuple[Index, DataFrame]:
+    """Fit the index on at most ``sample`` vectors, taken by hash, and assign every entry its cell.
+
+    As many again, if there are more, serve to calibrate the share of rows that a query visits.
+    """
     order = F.xxhash64(F.col("ids")[0])
-    some = [r["v"] for r in rows.select("v", order.alias("h"), F.col("ids")[0].alias("i")).orderBy("h", "i").limit(sample).collect()]
+    some = [r["v"] for r in rows.select("v", order.alias("h"), F.col("ids")[0].alias("i")).orderBy("h", "i").limit(2 * sample).collect()]
     x = np.array(some, np.float64).reshape(len(some), dim)
-    k = max(1, min(k, len(x) // 8))
+    fit, other = x[:sample], x[sample:]
+    k = max(1, min(k, len(fit) // 4))
     half = dim // 2
-    index = Index((kmeans(x[:, :half], k), kmeans(x[:, half:], k)), dim, block)
+    index = Index((kmeans(fit[:, :half], k), kmeans(fit[:, half:], k)), dim)
+    if visit is None:
+        index.calibrate(other if len(other) >= sample // 2 else x, top, recall)
+    else:
+        index.share = visit
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,6 +183,7 @@ def build(rows: DataFrame, dim: int, k: int, sample: int, block: int) -> tuple[I
     placed, _ = written(rows.select("ids", "v").mapInArrow(assign, "ids array<long>, v array<double>, i int, j int"), "entries")
     for r in placed.groupBy("i", "j").agg(F.sum(F.size("ids")).alias("n")).collect():  # at most k squared rows
         index.held[r["i"], r["j"]] = r["n"]
+    index.deal(block)
     return index, placed
 
 
@@ -139,8 +193,9 @@ def search(
     top: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    k: int = 64,
-    visit: float = 0.5,
+    k: int = 512,
+    visit: float | None = None,
+    recall: float = 0.93,
     sample: int = 20_000,
     block: int = 8192,
 ) -> DataFrame:
@@ -148,44 +203,48 @@ def search(
 
     Returns query_id, rank (from 1), vec_id and score, in double precision on
     the original vectors; ties go to the smaller id, and a row is no candidate
-    of the query with its own id.  At least ``top`` + 1 candidates are visited
-    if there are so many.  Vectors that are null, empty, zero or hold null or
-    non-finite components take no part, nor do rows with a null id or with
-    another length than most vectors.  A repeated row is one candidate for each
-    distinct score of its id; repeated queries are answered once.
+    of the query with its own id.  ``visit`` fixes the share of rows that a query
+    visits, 1.0 being the exact search; by default it is calibrated for
+    ``recall``.  At least ``top`` + 1 candidates are visited if there are so
+    many.  Vectors that are null, empty, zero or hold null or non-finite
+    components take no part, nor do rows with a null id or with another length
+    than most vectors.  A repeated row is one candidate for each distinct score
+    of its id; repeated queries are answered once.
     """
+    return reranked(df, queries, top, id_col, vector_col, k, visit, recall, sample, block)[0]
+
+
+def reranked(df, queries, top, id_col, vector_col, k, visit, recall, sample, block) -> tuple[DataFrame, DataFrame | None, Index | None]:
+    """The result of ``search``; the work as (query_id, multiplied), how many entries each task multiplied a query with; and the index."""
     spark = df.sparkSession
     rows, _ = written(entries(df, id_col, vector_col, top), "vectors")
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.sum(F.size("ids")).alias("n")).collect()  # one row a length
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema), None, None
     dim, total = max(((r["dim"], r["n"]) for r in sizes), key=lambda x: (x[1], -x[0]))
     rows = rows.where(F.size("v") == dim)
-    index, placed = build(rows, dim, k, sample, block)
-    blocks = index.blocks()
-    need = max(visit * total, top + 2)
+    index, placed = build(rows, dim, top, k, sample, block, visit, recall)
+    need = max(index.share * total, top + 2)
     held = spark.sparkContext.broadcast(index)  # its size is fixed by k and the dimension
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A query's row for each block of each shard that it visits, with the cells there."""
+        """A query's row for each block of each shard that it visits, with how far the shard's rows of cells are visited."""
         own = held.value
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
                 x = _matrix(part.column(1), dim)
-                first, second = -(x[:, : own.half] @ own.centres[0].T), -(x[:, own.half :] @ own.centres[1].T)
-                shard, piece, row, cells = [], [], [], []
+                shard, piece, row, depths = [], [], [], []
                 for r in range(len(x)):
-                    by: dict[int, list[int]] = {}
-                    for i, j in visits(first[r], second[r], own.held, need):
-                        by.setdefault(i, []).append(j)
-                    for i, js in by.items():
-                        for p in range(int(blocks[i])):
-                            shard.append(i)
-                            piece.append(p)
-                            row.append(r)
-                            cells.append(js)
+                    depth = visits(*own.distances(x[r]), own.held, need)
+                    for s, members in enumerate(own.members):
+                        if depth[members].any():
+                            for p in range(int(own.blocks[s])):
+                                shard.append(s)
+                                piece.append(p)
+                                row.append(r)
+                                depths.append(depth[members])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shard, pa.int32()),
@@ -193,7 +252,7 @@ def search(
                         pa.array([True] * len(row)),
                         part.column(0).take(pa.array(row, pa.int64())).cast(pa.int64()),
                         pa.array([None] * len(row), pa.list_(pa.int64())),
-                        pa.array(cells, pa.list_(pa.int32())),
+                        pa.array(depths, pa.list_(pa.int32())),
                         part.column(1).take(pa.array(row, pa.int64())),
                     ],
                     ["shard", "piece", "asks", "query_id", "ids", "cells", "v"],
@@ -202,23 +261,41 @@ def search(
     asked = usable(queries, id_col, vector_col).where(F.size("v") == dim).distinct().select(F.col("id").alias("query_id"), "v")
     form = "shard int, piece int, asks boolean, query_id long, ids array<long>, cells array<int>, v array<double>"
     sent = asked.mapInArrow(route, form)
-    deals = F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), F.col("i") + 1)
+    listed = lambda values: F.array(*[F.lit(int(n)) for n in values])
+    shard = F.element_at(listed(index.shard), F.col("i") + 1)
     stored = placed.select(
-        F.col("i").alias("shard"),
-        F.pmod(F.xxhash64(F.col("ids")[0]), deals).cast("int").alias("piece"),
+        shard.alias("shard"),
+        F.pmod(F.xxhash64(F.col("ids")[0]), F.element_at(listed(index.blocks), shard + 1)).cast("int").alias("piece"),
         F.lit(False).alias("asks"),
         F.lit(None).cast("long").alias("query_id"),
         "ids",
-        F.array("j").alias("cells"),
+        F.array(F.element_at(listed(index.place), F.col("i") + 1), "j").alias("cells"),
         "v",
     )
     dealt = stored.unionByName(sent).repartition("shard", "piece").sortWithinPartitions("shard", "piece", "asks")
 
+    def answers(own, base, cell, ids, part, out):
+        asked_for = _matrix(part.column(6), dim)
+        for q, v, depth in zip(part.column(3).to_pylist(), asked_for, part.column(5).to_pylist(), strict=True):
+            place = np.empty(len(own.centres[1]), np.int64)
+            place[np.argsort(own.distances(v)[1], kind="stable")] = np.arange(len(place))
+            visited = np.flatnonzero(place[cell[:, 1]] < np.array(depth)[cell[:, 0]])
+            if not len(visited):
+                continue
+            s = (base[visited] * v).sum(1)  # in one order of adding, whatever the block
+            best = np.arange(len(s))
+            if len(s) > top + 1:  # by entries; each holds an id other than the query's or is that query
+                best = np.flatnonzero(s >= np.partition(s, len(s) - top - 1)[len(s) - top - 1])
+            found = sorted((-float(s[e]), i) for e in best.tolist() for i in ids[visited[e]] if i != q)[:top]
+            out.append((q, [i for _, i in found], [-x for x, _ in found], len(visited)))
+
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
         at, pending, base, cell, ids = None, [], None, None, None
         for b in batches:
             shard, piece, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
             edges = np.flatnonzero((shard[1:] != shard[:-1]) | (piece[1:] != piece[:-1]) | (asks[1:] != asks[:-1])) + 1
+            out: list[tuple] = []
             for start, stop in zip([0, *edges], [*edges, b.num_rows], strict=True):
                 if start == stop:
                     continue
@@ -232,42 +309,19 @@ def search(
                     if not pending:
                         continue
                     base = np.concatenate([_matrix(p.column(6), dim) for p in pending])
-                    cell = np.concatenate([p.column(5).flatten().to_numpy(zero_copy_only=False) for p in pending])
+                    cell = np.concatenate([_matrix(p.column(5), 2) for p in pending])
                     ids = [x for p in pending for x in p.column(4).to_pylist()]
                     pending = []
-                for low in range(0, part.num_rows, 256):
-                    few = part.slice(low, 256)
-                    asked_for = _matrix(few.column(6), dim)
-                    score = asked_for @ base.T
-                    out: list[list] = [[], [], []]
-                    for r, (q, js) in enumerate(zip(few.column(3).to_pylist(), few.column(5).to_pylist(), strict=True)):
-                        own = np.flatnonzero(np.isin(cell, js))
-                        s = score[r, own]
-                        if len(own) > top + 1:  # by entries; each holds an id other than the query's or is that query
-                            cut = np.partition(s, len(s) - top - 1)[len(s) - top - 1]
-                            own = own[s >= cut - 1e-9 * abs(cut)]
-                        s = (base[own] * asked_for[r]).sum(1)  # in one order of adding, whatever the block
-                        found = sorted((-float(v), i) for v, e in zip(s, own.tolist(), strict=True) for i in ids[e] if i != q)[:top]
-                        if found:
-                            out[0].append(q)
-                            out[1].append([i for _, i in found])
-                            out[2].append([-v for v, _ in found])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))],
-                        ["query_id", "ids", "scores"],
-                    )
+                answers(own, base, cell, ids, part, out)
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["query_id", "ids", "scores", "multiplied"])
 
     best = dealt.select("shard", "piece", "asks", "query_id", "ids", "cells", "v").mapInArrow(
-        rerank, "query_id long, ids array<long>, scores array<double>"
-    )
-    # At most ``top`` from each block of a query: merged by one more cut.
-    merged = best.groupBy("query_id").agg(
-        F.slice(
-            F.array_sort(F.flatten(F.collect_list(F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i")))))),
-            1,
-            top,
-        ).alias("best")
-    )
-    return merged.select("query_id", F.posexplode("best").alias("at", "b")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score")
+        rerank, "query_id long, ids array<long>, scores array<double>, multiplied long"
     )
+    each = best.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    # The ranks are limited in each task before the exchange: no list of a query grows with its blocks.
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    ranked = each.withColumn("rank", place).where(F.col("rank") <= top)
+    return ranked.select("query_id", "rank", "vec_id", "score"), best.select("query_id", "multiplied"), index
