@@ -97,6 +97,25 @@ def test_mixing(spark, docs):
     assert repeated(docs.select("doc_id", "text", "lang", "source")).columns == ["doc_id", "text", "lang", "source"]
 
 
+def test_mixing_against_a_plain_cut(spark, docs):
+    """The registered query's own parameters: taken, document by document, in the order of keys."""
+    rows = docs.select("doc_id", "text", "source").collect()
+    key = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes, want = Counter(), Counter()
+    for r in rows:
+        sizes[r.source] += words(r.text)
+    for s, target in plain_targets(sizes).items():
+        own = sorted((key(r.doc_id), r.doc_id is not None, r.doc_id or 0, words(r.text)) for r in rows if r.source == s)
+        budget = int(target + 0.5)
+        epochs, left = divmod(budget, sizes[s]) if sizes[s] else (0, 0)
+        for _, named, i, size in own:
+            cut = min(left, size)
+            left -= cut
+            want[i if named else None, size, epochs * size + cut] += 1
+    assert Counter((r.doc_id, r["size"], r["taken"]) for r in mix_documents(docs).collect()) == want
+
+
 def test_targets_when_all_or_none_are_capped(spark):
     for sizes in ({"a": 1, "b": 1000, "c": 1000}, {"a": 10, "b": 10, None: 10}, {"a": 0, "b": 5}):
         df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -116,19 +135,71 @@ def test_rollup(spark, docs):
         want[r["source"], r["lang"], r["tokenizer"]][0] += 1
         want[r["source"], r["lang"], r["tokenizer"]][1] += r["tokens"]
     assert total() == {k: tuple(v) for k, v in want.items()}
+    assert rollup.deltas().count() == len(want) and rollup.ledger().count() == items.count()
     gone = items.where("item = 8 or item = 12345").select("item", "tokenizer")
     change = items.where("item = 6").dropDuplicates(["item", "tokenizer"]).withColumn("tokens", F.lit(100).cast("long"))
     assert rollup.commit("two", deletes=gone, revisions=change)
-    want["a", "en", "words@1"] = [want["a", "en", "words@1"][0] - 1, want["a", "en", "words@1"][1] - 30000]
-    want["a", "en", "letters@1"] = [want["a", "en", "letters@1"][0] - 1, want["a", "en", "letters@1"][1] - 30000]
-    for v in ("words@1", "letters@1"):  # the row was there twice; its revision is one item
+    for v, words in (("words@1", 30000), ("bytes@1", 150000)):
+        n, tokens = want["a", "en", v]
+        want["a", "en", v] = [n - 1, tokens - words]
+    for v, words in (("words@1", 18), ("bytes@1", 100)):  # the row was there twice; its revision is one item
         n, tokens = want["b", "fr", v]
-        want["b", "fr", v] = [n - 1, tokens - 18 + 100]
+        want["b", "fr", v] = [n - 1, tokens - words + 100]
     assert total() == {k: tuple(v) for k, v in want.items()}
+    assert rollup.compact() and not rollup.compact()
+    assert rollup.deltas().count() == len(want) and total() == {k: tuple(v) for k, v in want.items()}
     assert rollup.commit("three", deletes=items.select("item", "tokenizer"))
     left = total()  # items without an id can't be deleted
-    assert left == {("a", "en", v): (1, 5) for v in ("words@1", "letters@1")}
+    assert left == {("a", "en", "words@1"): (1, 5), ("a", "en", "bytes@1"): (1, 19)}
     assert rollup.committed() == ["one", "three", "two"]
+    assert rollup.commit("none", inserts=items.limit(0)) and total() == left
+
+
+def test_rollup_events_of_one_batch(spark):
+    """Null counts and items, and a revision or a delete of an item that its own batch inserts."""
+    rollup = Rollup(spark, fresh_path(spark, "test-rollup"))
+    schema = "item long, source string, lang string, tokenizer string, tokens long"
+    new = spark.createDataFrame([(1, "a", "x", "t", 5), (2, "a", "x", "t", None), (None, "a", None, "t", 7), (3, "a", "x", "t", 1)], schema)
+    change = spark.createDataFrame([(1, "b", "x", "t", 9)], schema)
+    assert rollup.commit("one", inserts=new, revisions=change, deletes=spark.createDataFrame([(3, "t")], "item long, tokenizer string"))
+    total = lambda: {tuple(r)[:3]: tuple(r)[3:] for r in rollup.totals().collect()}
+    assert total() == {("a", "x", "t"): (1, 0), ("a", None, "t"): (1, 7), ("b", "x", "t"): (1, 9)}
+    assert rollup.commit("two", revisions=spark.createDataFrame([(1, "a", "x", "t", 2), (77, "a", "x", "t", 1)], schema))
+    assert total() == {("a", "x", "t"): (3, 3), ("a", None, "t"): (1, 7)}
+
+
+def test_rollup_with_two_writers(spark):
+    """Of two writers of one batch one wins, and its rows alone count."""
+    path = fresh_path(spark, "test-rollup")
+    schema = "item long, source string, lang string, tokenizer string, tokens long"
+    one, two = Rollup(spark, path), Rollup(spark, path)
+    published = one._publish
+    def late(*args):  # the other writer finishes between this one's check and its marker
+        assert two.commit("b", inserts=spark.createDataFrame([(1, "s", "l", "t", 5)], schema))
+        return published(*args)
+
+    one._publish = late
+    assert not one.commit("b", inserts=spark.createDataFrame([(1, "s", "l", "t", 5), (2, "s", "l", "t", 6)], schema))
+    assert [tuple(r) for r in two.totals().collect()] == [("s", "l", "t", 1, 5)] and two.committed() == ["b"]
+
+
+def test_counts_by_the_encoder(spark, docs):
+    """A version of the byte-level BPE tokenizer beside the others, in one pass; extra columns stay."""
+    import public_tokenizers
+    import tiktoken
+
+    vocabulary = queries.public_vocabulary()
+    truth = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks(), special_tokens={})
+    got = counted(docs, versions=("words@1",), vocabularies={"bpe50k@1": vocabulary}).collect()
+    texts = defaultdict(set)
+    for r in docs.collect():
+        texts[r.doc_id].add(r.text)
+    assert len(got) == 2 * docs.count()
+    for r in got:
+        if r.tokenizer == "bpe50k@1":
+            assert r.tokens in {len(truth.encode_ordinary(t or "")) for t in texts[r["item"]]}
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert all(r.tokens in {words(t) for t in texts[r["item"]]} for r in got if r.tokenizer == "words@1")
 
 
 def test_salted_lookup(spark):

@@ -1,16 +1,18 @@
 import base64
 import gzip
 import hashlib
+import math
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm import queries, warc
-from tidewell.llm.chat_format import END, MIDDLE, START, format_pairs, stale_reply_pairs
+from tidewell.llm.chat_format import END, MIDDLE, START, format_pairs, sibling_pairs
 from tidewell.llm.common import fresh_path, table
-from tidewell.llm.url_filter import RULES, domain_of, judge, reputations, suffix_of
+from tidewell.llm.url_filter import RULES, beta_below, beta_quantile, judge, reputations, site_of, with_domains
 
 SF = "/root/testdata/sf0.01"
 
@@ -153,8 +155,15 @@ def plain_rule(host, path):
     return best
 
 
-def plain_reputation(hosts, limit=0.5, z=1.645):
-    """The hierarchy in plain Python: {host: (n, bad)} to {host: (rate, bound)}."""
+def plain_below(x, a, b, steps=20000):
+    """The incomplete beta function by the midpoint rule over the a-th power of its variable."""
+    top = a * math.log(x) - math.log(a) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    at = (np.arange(steps) + 0.5) / steps
+    return float(np.exp(top + (b - 1) * np.log1p(-x * at ** (1 / a))).mean())
+
+
+def plain_reputation(hosts):
+    """The hierarchy in plain Python: {host: (n, bad)} to {host: (rate, a, b)}."""
     two = lambda h: ".".join(h.split(".")[-2:])
     one = lambda h: h.split(".")[-1]
 
@@ -175,7 +184,7 @@ def plain_reputation(hosts, limit=0.5, z=1.645):
     up, _ = shrink(suffixes, dict.fromkeys(suffixes, overall))
     mid, _ = shrink(domains, {d: up[one(d)] for d in domains})
     rate, s = shrink(hosts, {h: mid[two(h)] for h in hosts})
-    return {h: (rate[h], max(0, rate[h] - z * (rate[h] * (1 - rate[h]) / (hosts[h][0] + s + 1)) ** 0.5)) for h in hosts}
+    return {h: (rate[h], b + s * mid[two(h)], n - b + s * (1 - mid[two(h)])) for h, (n, b) in hosts.items()}
 
 
 def test_url_filter(spark, pages):
@@ -193,8 +202,11 @@ def test_url_filter(spark, pages):
         host, path = plain_url(urls[r.page_id])
         rule = plain_rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule and rule[0])
-        assert r.host_rate == pytest.approx(want[host][0], abs=1e-8) and r.host_bound == pytest.approx(want[host][1], abs=1e-8)
-        assert r.verdict == (rule[1] if rule else "block" if want[host][1] >= 0.5 else "allow")
+        rate, a, b = want[host]
+        doubt = plain_below(0.5, a, b)
+        assert r.host_rate == pytest.approx(rate, abs=1e-8) and r.host_doubt == pytest.approx(doubt, abs=1e-5)
+        assert plain_below(r.host_bound, a, b) == pytest.approx(0.05, abs=1e-4) or r.host_bound < 1e-6
+        assert r.verdict == (rule[1] if rule else "block" if doubt <= 0.05 else "allow")
     assert any(r.verdict == "block" and r.host == "h1.example.com" for r in judge(pages, labels, rules=()).collect())
     assert judge(pages.limit(0), labels).collect() == []
     assert judge(pages, labels.limit(0)).count() == pages.count()
@@ -210,11 +222,47 @@ def test_url_query(spark):
         assert r.rule == (rule and rule[0]) and (rule is None or r.verdict == rule[1])
 
 
-def test_names(spark):
-    df = spark.createDataFrame([("a.b.co.uk",), ("x.org",), ("localhost",), ("",)], "h string")
-    got = [(r.d, r.s) for r in df.select(domain_of(F.col("h")).alias("d"), suffix_of(F.col("h")).alias("s")).collect()]
-    assert got == [("b.co.uk", "co.uk"), ("x.org", "org"), ("localhost", "localhost"), ("", "")]
-    assert reputations(spark.createDataFrame([], "host string, n long, bad long")).collect() == []
+def test_beta_functions():
+    """Against closed forms and the midpoint rule, skewed ones included."""
+    x = [0.01, 0.2, 0.5, 0.9, 0.999]
+    for a, b in ((1, 1), (3, 1), (1, 5), (0.05, 2.5), (0.3, 0.2), (40, 3), (6, 9)):
+        got = beta_below(x, [a] * 5, [b] * 5)
+        if b == 1:
+            assert got == pytest.approx([v**a for v in x], abs=1e-12)
+        elif a == 1:
+            assert got == pytest.approx([1 - (1 - v) ** b for v in x], abs=1e-12)
+        else:
+            assert got == pytest.approx([plain_below(v, a, b) for v in x], abs=3e-4)
+    q = beta_quantile(0.05, [3.0, 1.0, 40.0], [1.0, 5.0, 3.0])
+    assert q[:2] == pytest.approx([0.05 ** (1 / 3), 1 - 0.95**0.2], abs=1e-9) and plain_below(q[2], 40, 3) == pytest.approx(0.05, abs=1e-4)
+
+
+def test_sites_and_domains(spark):
+    hosts = ["a.b.co.uk", "x.org", "localhost", "", "a.com.sg", "me.github.io", "www.ck", "a.b.ck", "b.ck", "10.0.0.1", "[::1]", "co.uk"]
+    df = spark.createDataFrame([(h,) for h in hosts], "site string")
+    own = {r.site: (r.domain, r.suffix) for r in with_domains(df).collect()}
+    assert own["a.b.co.uk"] == ("b.co.uk", "co.uk") and own["x.org"] == ("x.org", "org") and own["localhost"] == ("localhost", "localhost") and own[""] == ("", "")
+    assert own["a.com.sg"] == ("a.com.sg", "com.sg") and own["me.github.io"] == ("github.io", "io") and own["co.uk"] == ("co.uk", "co.uk")
+    assert own["10.0.0.1"] == ("10.0.0.1", "") and own["[::1]"] == ("[::1]", "")
+    rules = spark.createDataFrame([("com.sg",), ("*.ck",), ("!www.ck",), ("github.io",), ("co.uk",), ("uk",), ("",)], "rule string")
+    listed = {r.site: (r.domain, r.suffix) for r in with_domains(df, rules).collect()}
+    assert listed["me.github.io"] == ("me.github.io", "github.io") and listed["www.ck"] == ("www.ck", "ck") and listed["a.b.ck"] == ("a.b.ck", "b.ck")
+    assert listed["b.ck"] == ("b.ck", "b.ck") and listed["a.b.co.uk"] == ("b.co.uk", "co.uk") and listed["x.org"] == ("x.org", "org")
+    raw = spark.createDataFrame([("u:p@h.org:8080",), ("h.org.",), ("[::1]:80",), ("h.org",), ("",)], "host string")
+    assert [r[0] for r in raw.select(site_of(F.col("host"))).collect()] == ["h.org", "h.org", "[::1]", "h.org", ""]
+    assert reputations(spark.createDataFrame([], "site string, n long, bad long")).collect() == []
+
+
+def test_url_edges(spark):
+    """Ports and addresses, null ids and urls, repeated rows and labels; hosts count by name."""
+    rows = [(i, f"http://h.org:{80 + i % 2}/x/{i}", 1) for i in range(40)] + [(None, f"http://h.org/{i}", 1) for i in range(30)] + [(None, None, 1), (50, "http://10.0.0.1/a", 1), (50, "http://10.0.0.1/a", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict int").repartition(3)
+    labels = spark.createDataFrame([(i, True) for i in range(40)] + [(1, False), (999, True), (None, True), (50, None)], "page_id long, bad boolean")
+    got = judge(df, labels, rules=()).collect()
+    assert len(got) == len(rows)
+    assert {(r.host_labelled, r.host_bad) for r in got if r.host.startswith("h.org")} == {(41, 40)}
+    assert {r.verdict for r in got if r.host.startswith("h.org")} == {"block"}
+    assert sorted(str(r.page_id) for r in got) == sorted(str(i) for i, *_ in rows)
 
 
 def test_chat_format(spark):
@@ -239,10 +287,38 @@ def test_chat_format(spark):
     assert format_pairs(df.limit(0)).collect() == []
 
 
-def test_stale_replies(spark):
-    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (1, 4, "user", "e"), (2, 0, "user", "x"), (3, 0, "assistant", None), (None, 0, "user", "")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.pair_id: r for r in format_pairs(stale_reply_pairs(df)).collect()}
-    assert set(got) == {1, 3} and got[1].prompt_turns == 3
-    assert (got[1].chosen, got[1].rejected) == tuple(START + "assistant" + MIDDLE + t + END for t in "db")
-    assert got[3].prompt_turns == 1
+def test_sibling_pairs(spark):
+    talks = {
+        1: [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"), ("user", "e")],
+        2: [("user", "a"), ("assistant", "b"), ("user", "z"), ("assistant", "y"), ("user", "x"), ("assistant", "w")],
+        3: [("user", "x")],
+        4: [("assistant", None)],
+        5: [("user", "a")],
+        6: [("user", "a"), ("assistant", "b"), ("user", "c")],
+    }
+    rows = [(i, n, role, text) for i, t in talks.items() for n, (role, text) in enumerate(t)] + [(None, 0, "user", ""), (7, None, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("side", F.lit("x")).repartition(3)
+    for chain, follows in ((10, {1: 2, 2: 5, 5: 6}), (2, {1: 5, 2: 6})):
+        got = {r.pair_id: r for r in format_pairs(sibling_pairs(df, chain)).collect()}
+        assert set(got) == set(talks)
+        for i, talk in talks.items():
+            mine = [(r or "", t or "") for r, t in talk]
+            other = [(r or "", t or "") for r, t in talks[follows[i]]] if i in follows else list(mine)
+            if i not in follows and (replies := [n for n, x in enumerate(mine) if x[0] == "assistant"]):
+                other[replies[-1]] = ("assistant", mine[replies[-2]][1] if len(replies) > 1 else "")
+            same = 0
+            while same < min(len(mine), len(other)) and mine[same] == other[same]:
+                same += 1
+            turn = lambda x: START + x[0] + MIDDLE + x[1] + END
+            assert got[i].prompt_turns == same and got[i].prompt == "".join(map(turn, mine[:same]))
+            for side, turns in (("chosen", mine[same:]), ("rejected", other[same:])):
+                assert got[i][side] == "".join(map(turn, turns))
+                assert [got[i][side][s.start : s.end] for s in got[i][f"{side}_mask"]] == [x[1] + END for x in turns if x[0] == "assistant"]
+    assert sibling_pairs(df.limit(0)).collect() == []
+
+
+def test_long_conversations(spark):
+    rows = [(i, n, "assistant" if n % 2 else "user", f"t{n}" if n < 2990 + i else f"{i}-{n}") for i in (1, 2) for n in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {r.pair_id: r for r in format_pairs(sibling_pairs(df)).collect()}
+    assert got[1].prompt_turns == 2991 and len(got[1].chosen_mask) == len(got[1].rejected_mask) == 5

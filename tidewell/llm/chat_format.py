@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import salted_lookup
+
 # The marks of a rendered turn.
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 
@@ -94,27 +96,52 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
-def stale_reply_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs made from plain conversations, as input of ``format_pairs``.
+#: Conversations of one opening turn that are put in order together.
+CHAIN = 10_000
+
+
+def successors(conversations: DataFrame, chain: int = CHAIN) -> DataFrame:
+    """(conv_id, next, before) of each conversation: its neighbours, by id, among those of the same opening turn.
 
-    Chosen is the conversation up to its last assistant turn.  Rejected is the
-    same with that reply replaced by the assistant's reply before it (empty, if
-    there is none): an answer that no longer fits.  Conversations without an
-    assistant turn make no pair; rows with a null conv_id or turn are left out.
-    If several rows are the last assistant turn, each is replaced.
+    The opening is the first turn's role and text.  Those of one opening form a
+    chain, or, if they are more than ``chain``, as many chains by id modulo a
+    number that grows with them, so no task orders a hot opening alone.  Only
+    ids and digests are moved.
+    """
+    said = F.sha2(F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))), 256)
+    rows = conversations.where("conv_id is not null and turn is not null").select("conv_id", F.struct("turn", said.alias("said")).alias("t"))
+    opened = rows.groupBy("conv_id").agg(F.min("t")["said"].alias("opening"))
+    counts = opened.groupBy("opening").agg(F.ceil(F.count("*") / chain).alias("chains"))
+    hot = salted_lookup(opened, "opening", F.col("conv_id"), counts.where("chains > 1"), "left")
+    link = hot.withColumn("link", F.pmod("conv_id", F.coalesce("chains", F.lit(1))))
+    order = Window.partitionBy("opening", "link").orderBy("conv_id")
+    return link.select("conv_id", F.lead("conv_id").over(order).alias("next"), F.lag("conv_id").over(order).alias("before"))
+
+
+def sibling_pairs(conversations: DataFrame, chain: int = CHAIN) -> DataFrame:
+    """Pairs made from plain conversations, as input of ``format_pairs``: one pair a conversation.
+
+    Chosen is the conversation.  Rejected is the next one, by id, with the same
+    opening turn; for the last of a chain it is the conversation itself with
+    its last assistant turn replaced by the assistant's reply before it (empty,
+    if there is none): an answer that no longer fits.  Each conversation is
+    sent to two pairs at most, however many share an opening.  Rows with a null
+    conv_id or turn are left out.  If several rows are the last assistant turn,
+    each is replaced.
     """
     rows = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null")
     talk = Window.partitionBy("conv_id")
-    by_assistant = F.col("role") == "assistant"
-    up_to = rows.withColumn("last", F.max(F.when(by_assistant, F.col("turn"))).over(talk)).where("turn <= last")
+    by_assistant = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    rows = rows.withColumn("last", F.max(F.when(by_assistant, F.col("turn"))).over(talk))
     earlier = by_assistant & (F.col("turn") < F.col("last"))
-    both = up_to.withColumn("stale", F.max(F.when(earlier, F.struct("turn", "text"))).over(talk))
+    rows = rows.withColumn("stale", F.max(F.when(earlier, F.struct("turn", "text"))).over(talk)).join(successors(conversations, chain), "conv_id")
     replaced = by_assistant & (F.col("turn") == F.col("last"))
+    own = F.when(replaced, F.coalesce(F.col("stale.text"), F.lit(""))).otherwise(F.col("text"))
+    side = lambda pair, name, said: F.struct(pair.alias("pair_id"), F.lit(name).alias("side"), said.alias("said"))
     sides = F.array(
-        F.struct(F.lit("chosen").alias("side"), F.col("text").alias("said")),
-        F.struct(
-            F.lit("rejected").alias("side"),
-            F.when(replaced, F.coalesce(F.col("stale.text"), F.lit(""))).otherwise(F.col("text")).alias("said"),
-        ),
+        side(F.col("conv_id"), "chosen", F.col("text")),
+        side(F.col("before"), "rejected", F.col("text")),
+        side(F.when(F.col("next").isNull(), F.col("conv_id")), "rejected", own),
     )
-    return both.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.inline(sides)).withColumnRenamed("said", "text")
+    sent = rows.select("turn", "role", F.inline(F.filter(sides, lambda x: x["pair_id"].isNotNull())))
+    return sent.select("pair_id", "side", "turn", "role", F.col("said").alias("text"))

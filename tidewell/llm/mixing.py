@@ -2,10 +2,10 @@
 
 Every row gets a hash-random key.  The key's top bits name a range, so the
 rows of a source, hot or not, fall into equal ranges that need no sampling and
-are the same in each run.  Sizes are summed per (source, range); a running sum
-over the ranges of a source, a table of at most ``ranges`` rows a source, gives
-each range its offset; and a running sum inside each range finishes the prefix
-sums.  A source's budget is then cut exactly: whole epochs first, the rest from
+are the same in each run.  Sizes are summed per (source, range) and per run of
+``RUN`` ranges; running sums over the runs of a source, over the ranges of a run
+and inside each range add up to the prefix sums, so that no task sees more than
+``RUN`` rows of sums, or one range.  A source's budget is then cut exactly: whole epochs first, the rest from
 the front of its order.
 """
 
@@ -14,10 +14,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import word_count, written
+
+
+def hash_key(value: Column) -> Column:
+    """A number of 60 bits from the MD5 of a value as text; null is the empty text."""
+    digest = F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 #: A range is the least that one task takes: at 65,536 a source, a third of 100 TB comes in pieces of half a gigabyte.
 RANGE_BITS = 16
+#: Ranges that are summed up together: 2**RUN_BITS.
+RUN_BITS = 8
+#: Bits of a row's key.
+KEY_BITS = 60
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0):
@@ -60,6 +70,7 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     carry: tuple[str, ...] = (),
+    write: bool = True,
 ) -> DataFrame:
     """How much of each row the mix takes.
 
@@ -68,21 +79,29 @@ def mix(
     Null sources are one source, after all others; rows of size 0 take 0; rows
     repeated with equal keys are ordered by ``carry``, and rows equal in that
     too share their place in any order, with the same total.  An empty table
-    gives an empty result.  ``key`` is hashed, by default all of ``carry``.
+    gives an empty result.  ``key`` is hashed, by default the first of ``carry``.
+    ``write`` keeps sizes and keys in a table of their own, so that texts are read once.
     """
-    spot = F.xxhash64(key if key is not None else F.struct(*carry))
+    spot = hash_key(key if key is not None else F.col(carry[0]))
     rows = df.select(*carry, F.col(source_col).alias("_source"), size.cast("long").alias("size"), spot.alias("_key"))
     # One key that is never null, so that the join below needs no second exchange of the rows.
     rows = rows.withColumn("_name", F.coalesce(F.concat(F.lit("s"), F.col("_source").cast("string")), F.lit("")))
-    rows = rows.withColumn("_range", F.shiftrightunsigned("_key", 64 - range_bits).cast("int"))
-    ranges = rows.groupBy("_name", "_range").agg(F.sum("size").alias("_sum"), F.max("_source").alias("_source"))
-    sizes = ranges.groupBy(F.col("_source").alias("source")).agg(F.sum("_sum").alias("source_size"))
+    rows = rows.withColumn("_range", F.shiftright("_key", KEY_BITS - range_bits).cast("int"))
+    if write:
+        rows, _ = written(rows, "sizes")
+    run = F.shiftright("_range", RUN_BITS).alias("_run")
+    ranges = rows.groupBy("_name", "_range").agg(F.sum("size").alias("_sum"), F.max("_source").alias("_source")).withColumn("_run", run)
+    ranges, _ = written(ranges, "ranges")  # at most 2**range_bits rows a source
+    runs = ranges.groupBy("_name", "_run").agg(F.sum("_sum").alias("_sum"), F.max("_source").alias("_source"))
+    sizes = runs.groupBy(F.col("_source").alias("source")).agg(F.sum("_sum").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
-    ahead = Window.partitionBy("_name").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranges.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
-        .join(targets, F.col("_source").eqNullSafe(F.col("source")))
-        .select("_name", "_range", "_ahead", "source_size", "target")
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda *by: F.coalesce(F.sum("_sum").over(before(*by)), F.lit(0))
+    starts = runs.select("_name", "_run", "_source", so_far("_name", "_run").alias("_start"))
+    starts = starts.join(targets, F.col("_source").eqNullSafe(F.col("source"))).select("_name", "_run", "_start", "source_size", "target")
+    inside = ranges.select("_name", "_run", "_range", so_far("_name", "_run", "_range").alias("_inside"))
+    offsets = inside.join(starts, ["_name", "_run"]).select(
+        "_name", "_range", (F.col("_start") + F.col("_inside")).alias("_ahead"), "source_size", "target"
     )
     here = (
         Window.partitionBy("_name", "_range")
@@ -118,7 +137,7 @@ def repeated(df: DataFrame, **options) -> DataFrame:
     A document that the cut falls into comes whole, so no text is shortened.
     """
     packed = df.select(F.struct(*df.columns).alias("_doc"), F.col("text"), F.col("source"), F.col("doc_id"))
-    taken = mix(packed, word_count(F.col("text")), key=F.col("doc_id"), carry=("_doc",), **options)
+    taken = mix(packed, word_count(F.col("text")), key=F.col("doc_id"), carry=("_doc",), write=False, **options)
     times = F.col("copies") + F.when(F.col("cut") > 0, 1).otherwise(0)
     again = taken.where(times > 0).select("_doc", F.explode(F.sequence(F.lit(1), times)))
     return again.select(*[F.col("_doc").getField(c).alias(c) for c in df.columns])

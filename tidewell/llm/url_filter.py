@@ -5,12 +5,20 @@ of its registered domain, which is shrunk to that of its public suffix, which
 is shrunk to the overall rate.  Each level's prior is a beta distribution whose
 mean is the level above and whose strength is fitted to the level's own
 outcomes by the method of moments for beta-binomial counts.  A page is blocked
-when the lower posterior bound (mean less ``z`` standard deviations) of its
-host's bad rate reaches ``limit``.
+when the lower posterior bound, the ``alpha`` quantile of its host's beta
+posterior, reaches ``limit``.
+
+Hosts count by their names: user info, port and a final dot are taken off, and
+an address is its own domain, under no suffix.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import lgamma
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +33,8 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-# Public suffixes of two labels; any other suffix is the last label.
-TWO_LABEL_SUFFIXES = (
-    "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br",
-    "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk",
-)
+# Labels that are registries of their own under a country's code of two letters.
+SECOND_LEVELS = ("ac", "co", "com", "edu", "gob", "gov", "gouv", "mil", "ne", "net", "nom", "or", "org", "sch")
 
 
 def host_of(url: Column) -> Column:
@@ -43,16 +48,87 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def suffix_of(host: Column) -> Column:
-    """The public suffix of a host: its last label, or two where they are a known pair."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def site_of(host: Column) -> Column:
+    """The name in a host part: without user info, port and final dot; brackets of an address stay."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":[0-9]*$", "")
+    return F.regexp_replace(name, r"\.$", "")
+
 
+def is_address(site: Column) -> Column:
+    return site.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | site.startswith("[")
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the public suffix and one label more."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+
+def with_domains(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``hosts`` (site, unique, and more) with domain and suffix.
+
+    ``suffixes`` has a column ``rule``, as in the public suffix list: names, names
+    after ``*.`` for any label there, and names after ``!`` for exceptions; the
+    longest rule holds, an exception before all others.  Without it, a country's
+    second-level registries (``SECOND_LEVELS``) are suffixes, and else the last
+    label is.  A site that is a suffix itself is its own domain.
+    """
+    labels = F.split("site", r"\.")
+    if suffixes is None:
+        two = (F.size(labels) > 1) & F.element_at(labels, -1).rlike("^[a-z]{2}$") & F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVELS)
+        hosts = hosts.withColumn("_n", F.when(two, 2).otherwise(1))
+    else:
+        rules = suffixes.select(F.lower(F.trim("rule")).alias("rule")).where("rule != ''").distinct()
+        kind = F.when(F.col("rule").startswith("!"), "!").when(F.col("rule").startswith("*."), "*").otherwise("=")
+        rules = rules.select(F.regexp_replace("rule", r"^(!|\*\.)", "").alias("tail"), kind.alias("kind"))
+        each = F.posexplode(F.expr("transform(sequence(1, size), k -> substring_index(site, '.', -k))")).alias("at", "tail")
+        tails = hosts.select("site", F.size(labels).alias("size")).select("site", "size", each)
+        exception, any_label = F.col("kind") == "!", F.col("kind") == "*"
+        n = F.when(exception, F.col("at")).when(any_label, F.col("at") + 2).otherwise(F.col("at") + 1)
+        fits = tails.join(rules, "tail").select("site", "size", F.struct(exception.alias("first"), n.alias("n")).alias("fit")).where("fit.n <= size")
+        best = fits.groupBy("site").agg(F.max("fit").alias("fit"))
+        hosts = hosts.join(best, "site", "left").withColumn("_n", F.coalesce("fit.n", F.lit(1))).drop("fit")
+    address = is_address(F.col("site"))
+    suffix = F.when(address, "").otherwise(F.expr("substring_index(site, '.', -_n)"))
+    domain = F.when(address, F.col("site")).otherwise(F.expr("substring_index(site, '.', -_n - 1)"))
+    return hosts.withColumn("suffix", suffix).withColumn("domain", domain).drop("_n")
+
+
+def beta_below(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function, by its continued fraction."""
+    x, a, b = (np.array(v, float) for v in np.broadcast_arrays(x, a, b))
+    turn = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(turn, 1 - x, x), np.where(turn, b, a), np.where(turn, a, b)
+    log_gamma = np.vectorize(lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = np.exp(a * np.log(x) + b * np.log1p(-x) + log_gamma(a + b) - log_gamma(a) - log_gamma(b)) / a if x.size else x
+    tiny = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+    c = np.ones_like(x)
+    d = 1 / tiny(1 - (a + b) * x / (a + 1))
+    h = d.copy()
+    for m in range(1, 2000):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / tiny(1 + top * d)
+            c = tiny(1 + top / c)
+            h = h * d * c
+        if not x.size or np.abs(d * c - 1).max() < 1e-14:
+            break
+    return np.where(turn, 1 - front * h, front * h)
+
+
+def beta_quantile(alpha: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The ``alpha`` quantile of beta distributions, by bisection."""
+    low, high = np.zeros(len(a)), np.ones(len(a))
+    for _ in range(50):
+        mid = (low + high) / 2
+        under = beta_below(mid, a, b) < alpha
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    return (low + high) / 2
+
+
+def posterior(a: Column, b: Column, alpha: float, limit: float) -> Column:
+    """Struct of doubt, the probability of a rate under ``limit``, and bound, the ``alpha`` quantile."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for x, y in batches:
+            x, y = x.to_numpy(float), y.to_numpy(float)
+            yield pd.DataFrame({"doubt": beta_below(np.full(len(x), limit), x, y), "bound": beta_quantile(alpha, x, y)})
+
+    return F.pandas_udf(run, "doubt double, bound double")(a, b)
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> Column:
@@ -64,20 +140,21 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def reputations(outcomes: DataFrame, limit: float = 0.5, z: float = 1.645, floor: float = 1.0) -> DataFrame:
+def reputations(
+    outcomes: DataFrame, limit: float = 0.5, alpha: float = 0.05, floor: float = 1.0, suffixes: DataFrame | None = None
+) -> DataFrame:
     """Posterior of each host's bad rate from per-host sums.
 
-    ``outcomes`` has host, n (labelled pages, may be 0) and bad, one row a host;
-    it is read more than once, so it should be a written table.
-    Returns host, n, bad, rate, bound and blocked.  Hosts without labels have
-    the posterior of their domain's prior.  ``floor`` is the least strength of a
-    prior; a level whose outcomes vary no more than binomial counts do is
+    ``outcomes`` has site, n (labelled pages, may be 0) and bad, one row a site.
+    Returns site, n, bad, rate, doubt, bound and blocked.  Hosts without labels
+    have the posterior of their domain's prior.  ``floor`` is the least strength
+    of a prior; a level whose outcomes vary no more than binomial counts do is
     shrunk with 1000 times that.
     """
-    hosts = outcomes.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts, _ = written(with_domains(outcomes, suffixes), "domains")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    top = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("prior"))
+    by_suffix = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    top = by_suffix.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("prior"))
 
     # Half of all domains share a suffix, and a third of all hosts may share a domain: their priors come by salted lookups.
     # Each level reads the one above twice, so that is written, lest the plan double with every level.
@@ -98,13 +175,14 @@ def reputations(outcomes: DataFrame, limit: float = 0.5, z: float = 1.645, floor
         out = rows.withColumn("rho", rho.scalar()).withColumn("strength", strength).drop("rho")
         return out.withColumn("rate", (F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength")))
 
-    by_suffix = shrunk(suffixes, top.scalar())
+    by_suffix = shrunk(by_suffix, top.scalar())
     by_domain = shrunk(raised(domains, "suffix", "domain", by_suffix), F.col("_up"))
-    by_host = shrunk(raised(hosts, "domain", "host", by_domain), F.col("_up"))
-    total = F.col("n") + F.col("strength")
-    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (total + 1))
-    bound = F.greatest(F.col("rate") - F.lit(z) * spread, F.lit(0.0))
-    return by_host.select("host", "n", "bad", "rate", bound.alias("bound"), (bound >= F.lit(limit)).alias("blocked"))
+    by_host = shrunk(raised(hosts, "domain", "site", by_domain), F.col("_up"))
+    good = F.col("n") - F.col("bad") + F.col("strength") * (1 - F.col("prior"))
+    seen = posterior(F.col("bad") + F.col("strength") * F.col("prior"), good, alpha, limit)
+    return by_host.withColumn("seen", seen).select(
+        "site", "n", "bad", "rate", "seen.doubt", "seen.bound", (F.col("seen.doubt") <= F.lit(alpha)).alias("blocked")
+    )
 
 
 def judge(
@@ -120,30 +198,29 @@ def judge(
 
     ``outcomes`` has ``id_col`` and bad (boolean), labels of some pages; labels
     of unknown pages count for nothing, a page with several labels counts each.
-    Returns ``id_col``, host, path, rule, verdict, and the host's n, bad, rate
-    and bound.  A null url, or one without ``://``, has empty host and path;
-    such pages share the empty host.  Repeated rows are judged each.  Other
+    Returns ``id_col``, host, path, rule, verdict, and the host's n, bad, rate,
+    doubt and bound.  A null url, or one without ``://``, has empty host and
+    path; such pages share the empty host.  Repeated rows are judged each.  Other
     columns of ``pages`` are not read.
 
-    Hosts that hold a third of all pages are summed by (host, salt) first; the
+    Hosts that hold a third of all pages are summed by (site, salt) first; the
     reputation goes back to those pairs, and the pages join on both.
     """
     salts = salts or shuffle_width(pages.sparkSession)
     url = F.col(url_col)
-    read = pages.select(id_col, host_of(url).alias("host"), path_of(url).alias("path"))
-    read = read.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
+    salt = F.pmod(F.xxhash64(id_col, url_col), F.lit(salts)).cast("int")  # pages of null id are told apart by their urls
+    read = pages.select(id_col, host_of(url).alias("host"), path_of(url).alias("path"), salt.alias("_salt")).withColumn("_site", site_of(F.col("host")))
     labels = outcomes.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(
         F.count(F.when(F.col("bad").isNotNull(), 1)).alias("n"), F.count(F.when(F.col("bad"), 1)).alias("bad")
     )
-    known = read.select(id_col, "host", "_salt").join(labels, id_col, "left")
-    pairs = known.groupBy("host", "_salt").agg(
-        F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad")
-    )
-    pairs, _ = written(pairs, "host-salts")
-    hosts, _ = written(pairs.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "hosts")
-    fetched = pairs.select("host", "_salt").join(reputations(hosts, **options), "host")
+    labelled = read.where(F.col(id_col).isNotNull()).select(id_col, F.col("_site").alias("site"), "_salt").join(labels, id_col)
+    labelled = labelled.groupBy("site", "_salt").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    pairs = read.select(F.col("_site").alias("site"), "_salt").distinct().join(labelled, ["site", "_salt"], "left")
+    pairs, _ = written(pairs.select("site", "_salt", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad")), "host-salts")
+    hosts = pairs.groupBy("site").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    fetched = pairs.select("site", "_salt").join(reputations(hosts, **options), "site").withColumnRenamed("site", "_site")
     rule = rule_for(F.col("host"), F.col("path"), rules)
-    return read.join(fetched, ["host", "_salt"]).withColumn("_rule", rule).select(
+    return read.join(fetched, ["_site", "_salt"]).withColumn("_rule", rule).select(
         id_col,
         "host",
         "path",
@@ -152,6 +229,7 @@ def judge(
         F.col("n").alias("host_labelled"),
         F.col("bad").alias("host_bad"),
         F.round("rate", 9).alias("host_rate"),
+        F.round("doubt", 6).alias("host_doubt"),
         F.round("bound", 9).alias("host_bound"),
     )
 
