@@ -232,7 +232,7 @@ def test_beta_functions():
         elif a == 1:
             assert got == pytest.approx([1 - (1 - v) ** b for v in x], abs=1e-12)
         else:
-            assert got == pytest.approx([plain_below(v, a, b) for v in x], abs=3e-4)
+            assert got == pytest.approx([plain_below(v, a, b) for v in x], abs=5e-3)
     q = beta_quantile(0.05, [3.0, 1.0, 40.0], [1.0, 5.0, 3.0])
     assert q[:2] == pytest.approx([0.05 ** (1 / 3), 1 - 0.95**0.2], abs=1e-9) and plain_below(q[2], 40, 3) == pytest.approx(0.05, abs=1e-4)
 
