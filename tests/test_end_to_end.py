@@ -7,7 +7,7 @@ import pytest
 from tests.test_operators import RC, make_reads, make_whitelist, plain_nanopore, plain_words, whitelist_csv
 from tidewell import cli
 from tidewell.operators import whitelist
-from tidewell.plans.pipelines import run_illumina
+from tidewell.plans.pipelines import run_count, run_illumina
 from tidewell.plans.registry import ORACLE_SQL, QUERIES
 from tidewell.sources.bam import bam_bytes, register
 from tidewell.streaming.reads import assign_stream, dedup_stream
@@ -88,6 +88,52 @@ def test_illumina_run(spark, tmp_path):
         run_illumina(spark, str(tmp_path / "1.fq.gz"), str(tmp_path / "2.fq.gz"), wl, str(tmp_path / "o2"))
 
 
+def test_several_lanes(spark, tmp_path):
+    """Reads of several files pair within their lanes; another number of files is an error."""
+    table = make_whitelist()
+    row = table[2]
+    r1 = RC(row[3]) + "ATG" + RC(row[2]) + "GAG" + RC(row[1]) + "TCGAG" + RC(row[0])
+    for side in ("1", "2"):
+        (tmp_path / side).mkdir()
+    for lane in "ab":
+        umis = ["ACGTACGTAC" + lane.replace("a", "AA").replace("b", "CC"), "TTTTTTTTTTTT"]
+        fastq(tmp_path / f"1/{lane}_R1.fq.gz", [(f"{lane}{i}", r1 + RC(u)) for i, u in enumerate(umis)] + [(f"{lane}_2", r1 + RC(umis[0]))])
+        fastq(tmp_path / f"2/{lane}_R2.fq.gz", [("x", lane.upper().replace("B", "C") * (i + 1)) for i in range(3)])
+    wl = whitelist_csv(tmp_path, table)
+    assert run_illumina(spark, str(tmp_path / "1"), str(tmp_path / "2"), wl, str(tmp_path / "o"))["matched"] == 6
+    got = {n.split("_")[0][1:] + n[2:4].strip("_ACGT"): s for n, s in fasta(tmp_path / "o/read.bcd.illumina.fa.gz")}
+    assert sorted(s for s in got.values()) == ["A", "AA", "AAA", "C", "CC", "CCC"]
+    assert {n[0]: s[0] for n, s in got.items()} == {"a": "A", "b": "C"}
+    os.remove(tmp_path / "2/b_R2.fq.gz")
+    with pytest.raises(Exception, match="different numbers"):
+        run_illumina(spark, str(tmp_path / "1"), str(tmp_path / "2"), wl, str(tmp_path / "o2"))
+
+
+def test_several_bam_files(spark, tmp_path):
+    register(spark)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/1.bam").write_bytes(bam_bytes([("t0", 5), ("t1", 6)], [("a_A_C", 0, 1)]))
+    (tmp_path / "b/2.bam").write_bytes(bam_bytes([("t0", 5), ("t1", 6)], [("b_A_G", 0, 0)]))
+    load = lambda kind: spark.read.format(kind).load(str(tmp_path / "b"))
+    assert [(r.tid, r.name, r.length) for r in load("bam_references").orderBy("tid").collect()] == [(0, "t0", 5), (1, "t1", 6)]
+    assert run_count(spark, str(tmp_path / "b"), str(tmp_path / "o"), one_file=False) == {"cells": 1, "transcripts": 2, "nnz": 2, "molecules": 2, "deduped": 2}
+    parts = sorted(x for x in os.listdir(tmp_path / "o/matrix.mtx.gz") if x.endswith(".gz"))
+    assert parts[0] == "head.gz" and b"".join(gzip.decompress((tmp_path / "o/matrix.mtx.gz" / x).read_bytes()) for x in parts).decode().splitlines()[2:] == ["1\t2\t2", "1\t1\t1", "1\t2\t1"]
+    (tmp_path / "b/3.bam").write_bytes(bam_bytes([("t1", 6), ("t0", 5)], [("b_A_T", 0, 0)]))
+    with pytest.raises(Exception, match="other targets"):
+        load("bam_references").collect()
+
+
+def test_names_that_counting_drops(spark, tmp_path, capfd):
+    table = make_whitelist()
+    parts = [RC(x) for x in table[5]]
+    read = "ACGT" * 20 + "ACGTACGTACGT" + parts[0] + "CTCGA" + parts[1] + "CTC" + parts[2] + "CAT" + parts[3]
+    fastq(tmp_path / "r.fq.gz", [("plain", read), ("with_mark", read)])
+    argv = ["barcode", "--nanopore", "--r1", str(tmp_path / "r.fq.gz"), "--whitelist", whitelist_csv(tmp_path, table), "-o", str(tmp_path / "o")]
+    assert cli.main(argv, spark) == 0
+    assert "1 matched reads have '_'" in capfd.readouterr().err
+
+
 def test_fastx_forms(spark, tmp_path):
     register(spark)
     (tmp_path / "x").mkdir()

@@ -160,10 +160,22 @@ def stats(assigned: DataFrame) -> DataFrame:
 
 
 def paired(r1: DataFrame, r2: DataFrame) -> DataFrame:
-    """Pair two reads tables (read_idx, name, seq) by position; unequal counts are an error."""
-    a = r1.select("read_idx", "name", F.col("seq").alias("r1"))
-    b = r2.select("read_idx", F.col("seq").alias("r2"), F.lit(1).alias("_b"))
-    both = a.withColumn("_a", F.lit(1)).join(b, "read_idx", "full_outer")
+    """Pair two reads tables by position; unequal counts, of files or of reads in a file, are an error.
+
+    Both have read_idx, name and seq, and file_idx if they were read from several
+    files: read_idx starts anew in each, so the first file's reads meet those of
+    the other side's first file.  A name with ``_`` in it would make a key that
+    counting drops; ``keyed_names`` finds such names.
+    """
+    keys = [c for c in ("file_idx", "read_idx") if c in r1.columns and c in r2.columns]
+    a = r1.select(*keys, "name", F.col("seq").alias("r1"))
+    b = r2.select(*keys, F.col("seq").alias("r2"), F.lit(1).alias("_b"))
+    both = a.withColumn("_a", F.lit(1)).join(b, keys, "full_outer")
     bad = F.col("_a").isNull() | F.col("_b").isNull()
     checked = F.when(bad, F.raise_error(F.lit("R1 and R2 have different numbers of records"))).otherwise(F.col("name"))
-    return both.select("read_idx", checked.cast("string").alias("name"), "r1", "r2")
+    return both.select(*keys, checked.cast("string").alias("name"), "r1", "r2")
+
+
+def keyed_names() -> Column:
+    """Whether a matched read's own name has ``_`` in it: ``parse_key`` drops what is keyed by it."""
+    return (F.col("status") == "matched") & F.col("name").contains("_")

@@ -55,7 +55,11 @@ def count_matrix(alignments: DataFrame, transcripts: DataFrame, order=None) -> M
     combining before its exchange, so a cell that holds a third of all molecules
     is spread; only its classes meet in one task.
     """
-    classes = eqclass_counts(dedup_exact(molecules(alignments, order)))
+    return matrix_of(eqclass_counts(dedup_exact(molecules(alignments, order))), transcripts)
+
+
+def matrix_of(classes: DataFrame, transcripts: DataFrame) -> Matrix:
+    """The matrix from class counts (cell, txps, count); they are read twice."""
     cells = numbered_cells(classes)
     alphas = abundances(classes, transcripts)
     triplets = alphas.join(cells, "cell").select("row", (F.col("tid") + 1).alias("col"), F.col("alpha").alias("value"), "barcode")

@@ -11,6 +11,7 @@ from ..functions import sequence as Q
 from ..functions.chemistry import PIPSEQ_V4
 from ..functions.seal import seal_extract
 from ..operators import abundance, assign, matrix, molecules, whitelist
+from ..sources import bam, shared
 from ..sources.sinks import failed_records, passed_records
 from . import derive
 
@@ -34,19 +35,19 @@ def query(sql: str | None = None):
 
 
 def _parts(spark, d):
-    return derive.frame(spark, d, derive.parts_sql(False))
+    return derive.stored(spark, d, derive.parts_sql(False))
 
 
 def _reads(spark, d):
-    return derive.frame(spark, d, derive.reads_sql(False))
+    return derive.stored(spark, d, derive.reads_sql(False))
 
 
 def _pairs(spark, d):
-    return derive.frame(spark, d, derive.pairs_sql(False))
+    return derive.stored(spark, d, derive.pairs_sql(False))
 
 
 def _alignments(spark, d):
-    return derive.frame(spark, d, derive.alignments_sql(False))
+    return derive.stored(spark, d, derive.alignments_sql(False))
 
 
 def _transcripts(spark, d):
@@ -294,19 +295,85 @@ def seal_extract_clean(spark, d):
     return reads.withColumn("s", seal_extract(F.col("seq"))).select("k", "s.*")
 
 
+@query()
+def seal_extract_all(spark, d):
+    """The rescue on every read, damaged anchors included; tested against a plain alignment, which SQL can't express."""
+    return _reads(spark, d).select("k", "seq").withColumn("s", seal_extract(F.col("seq"))).select("k", "s.*")
+
+
 def _nanopore(spark, d):
     return assign.assign_nanopore(_reads(spark, d).select("k", "name", "seq"), _words(spark))
 
 
-@query()
+# Reads that the patterns leave open are rescued to what they were made of, whatever was done to their linkers or
+# segments.  Why others fail (ambiguous or not found) may hang on where the anchor happens to fit in the other strand,
+# so SQL knows of them only that they fail; the tests compare the two with a plain cascade.
+CASCADE = f"""{NANOPORE}, p AS ({PARTS}), truth AS ({looked_up('p', ['s.bc1', 's.bc2', 's.bc3', 's.bc4'])}),
+    final AS (SELECT a.k, CASE WHEN a.status IN ('small', 'matched') THEN a.status WHEN t.cell IS NOT NULL THEN 'matched' ELSE 'failed' END AS outcome,
+        CASE WHEN a.status = 'small' THEN NULL ELSE coalesce(a.cell, t.cell) END AS cell,
+        CASE WHEN a.status = 'matched' THEN a.umi WHEN a.status <> 'small' AND t.cell IS NOT NULL THEN t.umi END AS umi,
+        CASE WHEN a.status = 'matched' THEN a.cdna WHEN a.status <> 'small' AND t.cell IS NOT NULL THEN t.cdna END AS cdna,
+        CASE WHEN a.status = 'matched' THEN a.is_polya WHEN a.status <> 'small' AND t.cell IS NOT NULL THEN true END AS is_polya
+        FROM assigned a JOIN truth t USING (k))
+"""
+
+
+def _outcomes(spark, d):
+    failed = F.col("status").isin("ambiguous", "mismatch")
+    return _nanopore(spark, d).withColumn("outcome", F.when(failed, "failed").otherwise(F.col("status")))
+
+
+@query(f"{CASCADE} SELECT k, outcome, cell, umi, cdna, is_polya FROM final")
 def assign_nanopore(spark, d):
-    """The whole cascade; no SQL for the alignment, tested against a plain one."""
-    return _nanopore(spark, d).select("k", "status", "cell", "umi", "cdna", "is_polya")
+    """The whole cascade: patterns on both strands, then the rescue on both."""
+    return _outcomes(spark, d).select("k", "outcome", "cell", "umi", "cdna", "is_polya")
 
 
-@query()
+@query(f"{CASCADE} SELECT count(*) AS total, count(*) FILTER (WHERE outcome = 'matched') AS matched, count(*) FILTER (WHERE outcome = 'small') AS small, count(*) FILTER (WHERE outcome = 'failed') AS failed FROM final")
 def nanopore_stats(spark, d):
-    return assign.stats(_nanopore(spark, d))
+    counts = assign.stats(_nanopore(spark, d))
+    return counts.select("total", "matched", "small", (F.col("ambiguous") + F.col("mismatch")).alias("failed"))
+
+
+# Sources and sinks: what is written is read back.
+
+
+@query(f"WITH {WL} SELECT CAST(segment AS INTEGER) AS segment, row, key FROM wl")
+def whitelist_csv(spark, d):
+    """The whitelist as a CSV file, barcode 4 first and reverse-complemented, and read again."""
+    wide = _whitelist(spark).groupBy("row").pivot("segment", [3, 2, 1, 0]).agg(Q.revcomp(F.first("key")))
+    path = shared.fresh_path(spark, "whitelist")
+    wide.coalesce(1).orderBy("row").drop("row").write.csv(path, header=True)
+    return whitelist.read_whitelist(spark, path)
+
+
+def _lanes(df, seq: str, path: str) -> None:
+    """FASTQ in three gzipped files; the same rows in the same order for every ``seq`` of one table."""
+    lines = F.concat(F.lit("@"), "name", F.lit(" lane"), F.pmod("k", F.lit(3)).cast("string"), F.lit("\n"), F.col(seq), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length(seq)))
+    lanes = df.withColumn("lane", F.pmod("k", F.lit(3))).repartitionByRange(3, "lane").sortWithinPartitions("lane", "k")
+    lanes.select(lines.alias("value")).write.text(path, compression="gzip")
+
+
+@query(f"SELECT name, r1, r2 FROM ({PAIRS}) p")
+def paired_reads(spark, d):
+    """Pairs written as two folders of FASTQ files, and paired again by file and position."""
+    bam.register(spark)
+    path = shared.fresh_path(spark, "lanes")
+    pairs = _pairs(spark, d).select("k", "name", "r1", "r2")
+    for side in ("r1", "r2"):
+        _lanes(pairs, side, f"{path}/{side}")
+    load = lambda side: spark.read.format("fastx").load(f"{path}/{side}")
+    return assign.paired(load("r1"), load("r2")).select("name", "r1", "r2")
+
+
+@query(f"SELECT read_name, CAST(flag AS INTEGER) AS flag, tid FROM ({derive.alignments_sql(True)}) a")
+def bam_records(spark, d):
+    """Alignments written as BAM files and read again."""
+    bam.register(spark)
+    path = shared.fresh_path(spark, "bam")
+    targets = [(r["name"], r["length"]) for r in _transcripts(spark, d).orderBy("tid").collect()]  # a bounded number of derived targets
+    bam.write_bam(_alignments(spark, d).select("read_name", "flag", "tid"), targets, path)
+    return spark.read.format("bam").load(path).select("read_name", "flag", "tid")
 
 
 # Molecules.
@@ -366,7 +433,7 @@ CLASSES = f"(SELECT cell, txps, CAST(count(*) AS INTEGER) AS count FROM (SELECT
 
 
 def _classes(spark, d):
-    return molecules.eqclass_counts(molecules.dedup_exact(_found(spark, d).repartition("cell")))
+    return molecules.eqclass_counts(molecules.dedup_exact(_found(spark, d)))
 
 
 @query(f"SELECT cell, {_JOINED} AS txps, count FROM {CLASSES} c")
@@ -417,10 +484,10 @@ EM = f"""WITH RECURSIVE {EXPLODED},
 """
 
 
-@query(f"{EM} SELECT cell, tid, round(a, 2) AS alpha FROM alpha")
+@query(f"{EM} SELECT cell, tid, round(a, 3) AS alpha FROM alpha")
 def em_abundance(spark, d):
     found = abundance.abundances(_classes(spark, d), _transcripts(spark, d))
-    return found.select("cell", "tid", F.round(F.col("alpha").cast("double"), 2).alias("alpha"))
+    return found.select("cell", "tid", F.round(F.col("alpha").cast("double"), 3).alias("alpha"))
 
 
 _CELLS = f"cells AS (SELECT cell, CAST(row_number() OVER (ORDER BY cell) AS INTEGER) AS row, right(cell, 16) AS barcode FROM (SELECT DISTINCT cell FROM {molecules_sql()} m) x)"
@@ -430,9 +497,9 @@ def _matrix(spark, d):
     return matrix.count_matrix(_alignments(spark, d), _transcripts(spark, d), _order())
 
 
-@query(f"{EM}, {_CELLS} SELECT barcode, row, tid + 1 AS col, round(a, 2) AS value FROM alpha JOIN cells USING (cell)")
+@query(f"{EM}, {_CELLS} SELECT barcode, row, tid + 1 AS col, round(a, 3) AS value FROM alpha JOIN cells USING (cell)")
 def count_matrix(spark, d):
-    return _matrix(spark, d).triplets.select("barcode", "row", "col", F.round(F.col("value").cast("double"), 2).alias("value"))
+    return _matrix(spark, d).triplets.select("barcode", "row", "col", F.round(F.col("value").cast("double"), 3).alias("value"))
 
 
 @query(f"WITH {_CELLS} SELECT row, barcode FROM cells")

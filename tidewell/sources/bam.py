@@ -1,8 +1,8 @@
 """BAM as two Spark data sources, and a small writer.
 
 ``bam`` gives alignment records (file, rec_idx, read_name, flag, tid),
-``bam_references`` the header's targets (tid, name, length).  A file is one
-partition: record boundaries are known only by reading from the start.
+``bam_references`` the header's targets (tid, name, length), which must be the
+same in all files of a folder.  A file is one partition: record boundaries are known only by reading from the start.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from .fastx import _File, files_of, inflated, opened
@@ -70,19 +71,29 @@ class BamReader(DataSourceReader):
         self.path, self.references = path, references
 
     def partitions(self):
-        files = files_of(self.path)
-        return [_File(p) for p in (files[:1] if self.references else files)]
+        return [_File(self.path)] if self.references else [_File(p) for p in files_of(self.path)]
+
+    def _targets(self):
+        """The targets, the same in all files: their numbers are what records refer to."""
+        first = None
+        for path in files_of(self.path):
+            with _stream(path) as f:
+                targets = header(_Bytes(inflated(iter(lambda: f.read(1 << 16), b""))))  # noqa: B023
+            if first is None:
+                first = targets
+            elif targets != first:
+                raise ValueError(f"{path} has other targets than the files before it")
+        return first or []
 
     def read(self, partition):
+        if self.references:
+            targets = self._targets()
+            columns = [pa.array(range(len(targets)), pa.int32()), pa.array([t[0] for t in targets], pa.string()), pa.array([t[1] for t in targets], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["tid", "name", "length"])
+            return
         with _stream(partition.path) as f:
             data = _Bytes(inflated(iter(lambda: f.read(1 << 20), b"")))
-            targets = header(data)
-            if self.references:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(targets)), pa.int32()), pa.array([t[0] for t in targets], pa.string()), pa.array([t[1] for t in targets], pa.int32())],
-                    ["tid", "name", "length"],
-                )
-                return
+            header(data)
             file, rows, start = partition.path.rsplit("/", 1)[-1], [], 0
             for r in alignments(data):
                 rows.append(r)
@@ -154,3 +165,23 @@ def bam_bytes(targets: Iterable[tuple[str, int]], rows: Iterable[tuple[str | Non
         pack = zlib.compressobj(6, zlib.DEFLATED, 31)
         packed += pack.compress(bytes(out[at : at + block])) + pack.flush()
     return bytes(packed)
+
+
+def write_bam(alignments, targets: list[tuple[str, int]], path: str) -> int:
+    """Write (read_name, flag, tid) as one BAM file a partition, all with the same targets; returns the number of records."""
+    import uuid
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+        where, at = opened(path)
+        where.create_dir(at, recursive=True)
+        # A second attempt of a task replaces what the first left: both write the whole file under one name.
+        name = f"{at}/part-{TaskContext.get().partitionId():05d}.bam"
+        trial = f"{at}/_{uuid.uuid4().hex}"
+        with where.open_output_stream(trial, compression=None) as out:
+            out.write(bam_bytes(targets, rows, block=60000))
+        where.move(trial, name)
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
+
+    made = alignments.select("read_name", "flag", "tid").mapInArrow(run, "n long")
+    return sum(r["n"] for r in made.collect())  # one row a partition

@@ -1,6 +1,7 @@
 """Gzipped or plain FASTQ and FASTA as a Spark data source.
 
-``spark.read.format("fastx").load(path)`` gives read_idx, name and seq.  A gzip
+``spark.read.format("fastx").load(path)`` gives file, file_idx (the file's
+position by name), read_idx (within the file), name and seq.  A gzip
 stream can't be split, so a file is one partition; repartition after the scan.
 """
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "file string, read_idx long, name string, seq string"
+SCHEMA = "file string, file_idx int, read_idx long, name string, seq string"
 BATCH = 4096
 
 
@@ -109,8 +110,8 @@ def _record(header: bytes, parts: list[bytes]) -> tuple[str, str]:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, idx: int = 0):
+        self.path, self.idx = path, idx
 
 
 class FastxReader(DataSourceReader):
@@ -118,7 +119,7 @@ class FastxReader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        return [_File(p) for p in files_of(self.path)]
+        return [_File(p, i) for i, p in enumerate(files_of(self.path))]
 
     def read(self, partition):
         where, at = opened(partition.path)
@@ -129,17 +130,17 @@ class FastxReader(DataSourceReader):
             for r in records(lines_of(inflated(chunks))):
                 rows.append(r)
                 if len(rows) == BATCH:
-                    yield _batch(name, start, rows)
+                    yield _batch(name, partition.idx, start, rows)
                     start, rows = start + len(rows), []
             if rows:
-                yield _batch(name, start, rows)
+                yield _batch(name, partition.idx, start, rows)
 
 
-def _batch(name: str, start: int, rows: list[tuple[str, str]]) -> pa.RecordBatch:
+def _batch(name: str, idx: int, start: int, rows: list[tuple[str, str]]) -> pa.RecordBatch:
     n = len(rows)
+    where = [pa.array([name] * n), pa.array([idx] * n, pa.int32()), pa.array(range(start, start + n), pa.int64())]
     return pa.RecordBatch.from_arrays(
-        [pa.array([name] * n), pa.array(range(start, start + n), pa.int64()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])],
-        ["file", "read_idx", "name", "seq"],
+        [*where, pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["file", "file_idx", "read_idx", "name", "seq"]
     )
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,6 @@ from ..functions.sequence import record_id
 from ..operators.assign import one_strand
 from ..operators.matrix import Matrix
 from ..operators.molecules import eqclass_text
-from .fastx import opened
 
 FAILED = ("small", "ambiguous", "mismatch")
 
@@ -40,47 +40,75 @@ def number(x: float) -> str:
     return np.format_float_positional(np.float32(x), unique=True, trim="-")
 
 
-def _write_lines(path: str, lines: Iterable[str]) -> None:
-    where, at = opened(path)
-    with where.open_output_stream(at, compression=None) as raw, gzip.GzipFile(filename="", fileobj=raw, mode="wb", mtime=0) as out:
-        for line in lines:
-            out.write((line + "\n").encode())
+def _number_text_udf(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for v in values:
+        yield pd.Series([number(x) for x in v], dtype=object)
 
 
-def write_matrix(matrix: Matrix, path: str) -> dict[str, int]:
+def _joined(spark, parts: str, path: str, head: bytes = b"") -> None:
+    """One file of ``head`` and the part files in order: bytes are copied, nothing is parsed; the parts go."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(parts).getFileSystem(conf)
+    names = sorted(x.getPath().getName() for x in fs.listStatus(at(parts)) if x.getPath().getName().startswith("part-"))
+    out = fs.create(at(path), True)
+    try:
+        out.write(bytearray(head))
+        for name in names:
+            part = fs.open(at(f"{parts}/{name}"))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+    finally:
+        out.close()
+    fs.delete(at(parts), True)
+
+
+def _packed(lines: list[str]) -> bytes:
+    return gzip.compress("".join(f"{x}\n" for x in lines).encode(), mtime=0) if lines else b""
+
+
+def _write_lines(df: DataFrame, path: str, one_file: bool, head: list[str] = (), packed: bool = True) -> None:
+    """The lines ``value`` of ``df``, in its order, written by executors.
+
+    With ``one_file`` the parts are joined, byte by byte, after ``head``: members
+    of a gzip stream follow each other.  Else ``path`` is a folder, with ``head`` in
+    a file that sorts first.
+    """
+    spark = df.sparkSession
+    parts = f"{path}.parts" if one_file else path
+    df.select("value").write.mode("overwrite").text(parts, **({"compression": "gzip"} if packed else {}))
+    top = _packed(head) if packed else "".join(f"{x}\n" for x in head).encode()
+    if one_file:
+        _joined(spark, parts, path, top)
+    elif head:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/head{'.gz' if packed else ''}")
+        out = at.getFileSystem(conf).create(at, True)
+        out.write(bytearray(top))
+        out.close()
+
+
+def write_matrix(matrix: Matrix, path: str, one_file: bool = True) -> dict[str, int]:
     """matrix.mtx.gz, barcodes.tsv.gz and features.tsv.gz in the folder ``path``.
 
-    One file each is what readers of the format expect, so the driver streams
-    the ordered rows through, a partition at a time.
+    Executors write the lines; one file each is what readers of the format
+    expect, so the compressed parts are joined, unless ``one_file`` is off.
     """
-    where, at = opened(path)
-    where.create_dir(at, recursive=True)
     head = matrix.header().first().asDict()
-    rows = matrix.triplets.orderBy("row", "col").select("row", "col", "value").toLocalIterator(prefetchPartitions=True)
     top = ["%%MatrixMarket matrix coordinate real general", "% Generated by tidewell", f"{head['cells']}\t{head['transcripts']}\t{head['nnz']}"]
-
-    def lines():
-        yield from top
-        for r in rows:
-            yield f"{r['row']}\t{r['col']}\t{number(r['value'])}"
-
-    _write_lines(f"{path}/matrix.mtx.gz", lines())
-    _write_lines(f"{path}/barcodes.tsv.gz", (r["barcode"] for r in matrix.barcodes.orderBy("row").toLocalIterator()))
-    _write_lines(f"{path}/features.tsv.gz", (r["name"] for r in matrix.features.orderBy("col").toLocalIterator()))
+    text = F.pandas_udf(_number_text_udf, "string")(F.col("value"))
+    rows = matrix.triplets.orderBy("row", "col").select(F.concat_ws("\t", "row", "col", text).alias("value"))
+    _write_lines(rows, f"{path}/matrix.mtx.gz", one_file, top)
+    _write_lines(matrix.barcodes.orderBy("row").select(F.col("barcode").alias("value")), f"{path}/barcodes.tsv.gz", one_file)
+    _write_lines(matrix.features.orderBy("col").select(F.col("name").alias("value")), f"{path}/features.tsv.gz", one_file)
     return head
 
 
-def write_eqclass_text(found: DataFrame, transcripts: DataFrame, path: str) -> None:
-    """The count of targets, their names and lengths, then a line a molecule."""
-    listed = list(transcripts.orderBy("tid").select("name", "length").toLocalIterator())
-    molecules = (r["value"] for r in eqclass_text(found, transcripts).toLocalIterator(prefetchPartitions=True))
-
-    def lines():
-        yield str(len(listed))
-        yield from (f"{r['name']}\t{r['length']}" for r in listed)
-        yield from molecules
+def write_eqclass_text(found: DataFrame, transcripts: DataFrame, path: str, one_file: bool = True) -> None:
+    """The count of targets, their names and lengths, then a line a molecule.
 
-    where, at = opened(path)
-    with where.open_output_stream(at, compression=None) as out:
-        for line in lines():
-            out.write((line + "\n").encode())
+    Executors write the molecules; the head, one line a target, is the driver's.
+    """
+    listed = list(transcripts.orderBy("tid").select("name", "length").toLocalIterator())
+    head = [str(len(listed)), *(f"{r['name']}\t{r['length']}" for r in listed)]
+    _write_lines(eqclass_text(found, transcripts), path, one_file, head, packed=False)
