@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import salted_lookup, without, written
 from .components import components
-from .similarity import shingles, similar_links
+from .similarity import shingles, similar_components
 
 BITS = 64
 NO_ID = 2**63 - 1
@@ -585,7 +585,7 @@ def representatives(
     nodes, _ = written(nodes.select(F.struct("low.d", "f", "low.t").alias("n"), "size", "mark"), "nodes")
     known, _ = written(classes(nodes.select(F.col("n.d").alias("d"), "mark"), "d", "mark", distance=distance, **options), "classes")
     bucketed = salted_lookup(nodes, "mark", F.col("n"), known.select(F.col("f").alias("mark"), F.col("root.f").alias("key")))
-    roots = components(similar_links(bucketed.select("n", "size", "key"), rows, similarity))
+    roots = similar_components(bucketed.select("n", "size", "key"), rows, similarity)
     fate = nodes.select("n").join(roots.withColumnRenamed("node", "n"), "n", "left").select("n.f", F.coalesce("root", "n").alias("root"))
     own = (F.col("root.d") == F.col("d")) & (F.col("root.t") == F.col("t"))
     fates = salted_lookup(marked.select("d", "t", "f"), "f", F.col("d"), fate)

@@ -130,8 +130,8 @@ def _crossed(similarity: float):
     return run
 
 
-def similar_links(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) that connect whatever the similar pairs of each bucket connect.
+def similar_components(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the components that the similar pairs of each bucket make; roots have no row.
 
     ``nodes`` has n (struct of d, f and t; f unique), size and key, its bucket;
     ``rows`` the texts, by d and t.
@@ -144,8 +144,8 @@ def similar_links(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataF
     sets, _ = written(_sets(rows.join(asked, ["d", "t"]).select("f", "text").dropDuplicates(["f"])), "sets")
     stars = met.where((F.col("n") != F.col("v")) & _alike("size", "v_size", similarity)).select(F.col("n").alias("u"), "v").distinct()
     found, _ = written(_verified(stars, sets, similarity), "stars")
-    roots = components(found).withColumnRenamed("node", "n")
-    known = met.join(roots, "n", "left").withColumn("root", F.coalesce("root", "n"))
+    # A node has one bucket, so its star's centre is its root so far.
+    known = met.join(found.select(F.col("u").alias("n"), F.col("v").alias("root")), "n", "left").withColumn("root", F.coalesce("root", "n"))
     known, _ = written(known, "known")
     mixed = known.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high")
     open_, _ = written(salted_lookup(known, "key", F.col("n.f"), mixed.select("key")), "open")
@@ -157,5 +157,7 @@ def similar_links(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataF
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "guest")
     made = dealt.mapInArrow(_crossed(similarity), "ud long, uf long, ut long, vd long, vf long, vt long")
     node = lambda x: F.struct(F.col(x + "d").alias("d"), F.col(x + "f").alias("f"), F.col(x + "t").alias("t")).alias(x)
-    more = made.select(node("u"), node("v")).distinct()
-    return found.unionByName(more)
+    more, _ = written(made.select(node("u"), node("v")).distinct(), "more")
+    if more.isEmpty():
+        return found.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return components(found.unionByName(more))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, encoded
-from .common import _file_system, discard, word_count
+from .common import file_system, discard, word_count
 
 DIMS = ("source", "lang", "tokenizer")
 
@@ -75,7 +75,7 @@ class Rollup:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _listed(self, kind: str) -> list[str]:
-        fs, at = _file_system(self.spark, f"{self.path}/{kind}")
+        fs, at = file_system(self.spark, f"{self.path}/{kind}")
         return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
 
     def _markers(self, kind: str) -> list[dict]:
@@ -88,11 +88,11 @@ class Rollup:
         """Rename a finished marker to its name; False if that is taken.  The rename never overwrites."""
         jvm = self.spark.sparkContext._jvm
         made, final = f"{self.path}/trials/{uuid.uuid4().hex}", f"{self.path}/{kind}/{name}"
-        fs, at = _file_system(self.spark, made)
+        fs, at = file_system(self.spark, made)
         out = fs.create(at, False)
         out.write(bytearray((json.dumps(content) + "\n").encode()))
         out.close()
-        _, to = _file_system(self.spark, final)
+        _, to = file_system(self.spark, final)
         fs.mkdirs(to.getParent())
         never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
