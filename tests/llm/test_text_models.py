@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tidewell.llm import queries
-from tidewell.llm.ann import reranked, search, visits
+from tidewell.llm.ann import TILE, reranked, search, visits
 from tidewell.llm.bpe import PerfectHash, codec, decoded, encoded
 from tidewell.llm.common import table
 from tidewell.llm.langid import fit, grams, predict, train
@@ -182,8 +182,8 @@ def test_only_visited_cells_are_multiplied(spark):
     order = np.argsort(second, kind="stable")
     seen = [(i, j) for i in range(9) for j in order[: depth[i]]]
     assert sum(held[i, j] for i, j in seen) >= 60
-    # All cells before the last tile's are visited, and no tile begins after the last one popped.
-    last = max(first[i] + second[order[(depth[i] - 1) // 16 * 16]] for i in range(9) if depth[i])
+    # All cells before the last tile's are visited.
+    last = max(first[i] + second[order[(depth[i] - 1) // TILE * TILE]] for i in range(9) if depth[i])
     assert {(i, j) for i in range(9) for j in range(40) if first[i] + second[j] < last} <= set(seen) and last <= sums[-1]
 
 

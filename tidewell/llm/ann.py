@@ -35,7 +35,7 @@ from .common import written
 
 SHARES = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7)
 #: Cells of a row of the walk that leave the heap together.
-TILE = 16
+TILE = 32
 #: Queries of the calibration.
 ASKED = 200
 
@@ -69,20 +69,23 @@ def visits(first: np.ndarray, second: np.ndarray, held: np.ndarray, need: float)
     heap holds the next tile of each row that the walk has reached, and a row is
     reached when the row before it is, so it never holds more than one a row.
     """
-    a, b = np.argsort(first, kind="stable").tolist(), np.argsort(second, kind="stable")
+    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     fa, sb = first[a].tolist(), second[b].tolist()
-    depth, got, k = np.zeros(len(a), np.int32), 0, len(sb)
-    heap = [(fa[0] + sb[0], 0, 0)]
+    k = len(sb)
+    ends = [*range(TILE - 1, k - 1, TILE), k - 1]
+    tiles = np.diff(held[np.ix_(a, b)].cumsum(1)[:, ends], prepend=0, axis=1).tolist()
+    heap, got, depth = [(fa[0] + sb[0], 0, 0)], 0, [0] * len(fa)
     while heap and got < need:
-        _, i, j = heapq.heappop(heap)
-        stop = min(j + TILE, k)
-        got += int(held[a[i], b[j:stop]].sum())
-        depth[a[i]] = stop
-        if j == 0 and i + 1 < len(a):
+        _, i, t = heapq.heappop(heap)
+        got += tiles[i][t]
+        depth[i] = t + 1
+        if t == 0 and i + 1 < len(fa):
             heapq.heappush(heap, (fa[i + 1] + sb[0], i + 1, 0))
-        if stop < k:
-            heapq.heappush(heap, (fa[i] + sb[stop], i, stop))
-    return depth
+        if t + 1 < len(ends):
+            heapq.heappush(heap, (fa[i] + sb[(t + 1) * TILE], i, t + 1))
+    out = np.zeros(len(fa), np.int32)
+    out[a] = np.minimum(np.array(depth) * TILE, k)
+    return out
 
 
 class Index:
@@ -197,7 +200,7 @@ def search(
     visit: float | None = None,
     recall: float = 0.93,
     sample: int = 20_000,
-    block: int = 8192,
+    block: int = 4096,
 ) -> DataFrame:
     """The ``top`` rows of ``df`` with the largest inner product for each row of ``queries``.
 
@@ -259,6 +262,8 @@ def reranked(df, queries, top, id_col, vector_col, k, visit, recall, sample, blo
                 )
 
     asked = usable(queries, id_col, vector_col).where(F.size("v") == dim).distinct().select(F.col("id").alias("query_id"), "v")
+    # Walking the cells is work, whatever few bytes the queries are: a task for each partition.
+    asked = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "query_id")
     form = "shard int, piece int, asks boolean, query_id long, ids array<long>, cells array<int>, v array<double>"
     sent = asked.mapInArrow(route, form)
     listed = lambda values: F.array(*[F.lit(int(n)) for n in values])
