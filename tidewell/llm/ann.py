@@ -160,7 +160,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def build(rows: DataFrame, dim: int, top: int, k: int, sample: int, block: int, visit: float | None, recall: float) -> tuple[Index, DataFrame]:
+def build(rows: DataFrame, dim: int, total: int, top: int, k: int, sample: int, block: int, visit: float | None, recall: float) -> tuple[Index, DataFrame]:
     """Fit the index on at most ``sample`` vectors, taken by hash, and assign every entry its cell.
 
     As many again, if there are more, serve to calibrate the share of rows that a query visits.
@@ -173,7 +173,9 @@ def build(rows: DataFrame, dim: int, top: int, k: int, sample: int, block: int,
     half = dim // 2
     index = Index((kmeans(fit[:, :half], k), kmeans(fit[:, half:], k)), dim)
     if visit is None:
-        index.calibrate(other if len(other) >= sample // 2 else x, top, recall)
+        # A sample's few best are as near as the table's top.
+        shown = other if len(other) >= sample // 2 else x
+        index.calibrate(shown, -(-top * len(shown) // max(total, 1)), recall)
     else:
         index.share = visit
 
@@ -198,7 +200,7 @@ def search(
     vector_col: str = "embedding",
     k: int = 512,
     visit: float | None = None,
-    recall: float = 0.93,
+    recall: float = 0.95,
     sample: int = 20_000,
     block: int = 4096,
 ) -> DataFrame:
@@ -227,7 +229,7 @@ def reranked(df, queries, top, id_col, vector_col, k, visit, recall, sample, blo
         return spark.createDataFrame([], schema), None, None
     dim, total = max(((r["dim"], r["n"]) for r in sizes), key=lambda x: (x[1], -x[0]))
     rows = rows.where(F.size("v") == dim)
-    index, placed = build(rows, dim, top, k, sample, block, visit, recall)
+    index, placed = build(rows, dim, total, top, k, sample, block, visit, recall)
     need = max(index.share * total, top + 2)
     held = spark.sparkContext.broadcast(index)  # its size is fixed by k and the dimension
 
