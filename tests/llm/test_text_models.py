@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tidewell.llm import queries
-from tidewell.llm.ann import TILE, reranked, search, visits
+from tidewell.llm.ann import TILE, drawn, entries, reranked, search, visits
 from tidewell.llm.bpe import PerfectHash, codec, decoded, encoded
 from tidewell.llm.common import table
 from tidewell.llm.langid import fit, grams, predict, train
@@ -187,6 +187,14 @@ def test_only_visited_cells_are_multiplied(spark):
     assert {(i, j) for i in range(9) for j in range(40) if first[i] + second[j] < last} <= set(seen) and last <= sums[-1]
 
 
+def test_sample_is_that_of_the_least_hashes(spark):
+    df = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    rows = entries(df, "vec_id", "embedding", 20)
+    want = [r.v for r in rows.orderBy(F.xxhash64(F.col("ids")[0]), "ids").limit(400).collect()]
+    assert [r.v for r in drawn(rows, 3000, 400).collect()] == want
+    assert drawn(rows, 3000, 5000).count() == 3000
+
+
 def test_nearest_neighbours_edges(spark):
     own = np.random.default_rng(0)
     rows = [(i, own.normal(size=6).tolist()) for i in range(300)]

@@ -56,8 +56,12 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
     return centre
 
 
-def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    return np.argmin((centre**2).sum(1)[None, :] - 2 * (x @ centre.T), axis=1)
+def nearest(x: np.ndarray, centre: np.ndarray, rows: int = 2048) -> np.ndarray:
+    """The nearest centroid of each row; the distances of ``rows`` rows are held at once."""
+    norms, out = (centre**2).sum(1), np.empty(len(x), np.int64)
+    for at in range(0, len(x), rows):
+        out[at : at + rows] = np.argmin(norms - 2 * (x[at : at + rows] @ centre.T), axis=1)
+    return out
 
 
 def visits(first: np.ndarray, second: np.ndarray, held: np.ndarray, need: float) -> np.ndarray:
@@ -105,16 +109,19 @@ class Index:
 
     def calibrate(self, x: np.ndarray, top: int, recall: float) -> None:
         """Set the least share that keeps ``recall`` of the true neighbours of the first rows among all of ``x``."""
-        asked = x[:ASKED]
-        exact = asked @ x.T
-        exact[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-        true = np.argsort(-exact, axis=1, kind="stable")[:, : min(top, len(x) - 1)]
         i, j = self.cells(x)
-        by_cell = (asked[:, : self.half] @ self.centres[0].T)[:, i] + (asked[:, self.half :] @ self.centres[1].T)[:, j]
-        place = np.empty_like(exact, dtype=np.int64)
-        np.put_along_axis(place, np.argsort(-by_cell, axis=1, kind="stable"), np.arange(len(x))[None, :].repeat(len(asked), 0), axis=1)
-        place = np.take_along_axis(place, true, axis=1)
-        self.share = next((s for s in SHARES if place.size and (place < s * len(x)).mean() >= recall), 1.0)
+        wanted, within = min(top, len(x) - 1), np.zeros(len(SHARES), np.int64)
+        asked = x[:ASKED]
+        for n, q in enumerate(asked):
+            exact = x @ q
+            exact[n] = -np.inf
+            by_cell = (self.centres[0] @ q[: self.half])[i] + (self.centres[1] @ q[self.half :])[j]
+            place = np.empty(len(x), np.int64)
+            place[np.argsort(-by_cell, kind="stable")] = np.arange(len(x))
+            true = place[np.argsort(-exact, kind="stable")[:wanted]]
+            within += [(true < s * len(x)).sum() for s in SHARES]
+        found = within / max(1, wanted * len(asked))
+        self.share = next((s for s, held in zip(SHARES, found, strict=True) if wanted > 0 and held >= recall), 1.0)
 
     def deal(self, block: int) -> None:
         """Shards of neighbouring first centroids with about ``block`` rows, and how many blocks each has."""
@@ -156,18 +163,33 @@ def entries(df: DataFrame, id_col: str, vector_col: str, top: int) -> DataFrame:
     return few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def build(rows: DataFrame, dim: int, total: int, top: int, k: int, sample: int, block: int, visit: float | None, recall: float) -> tuple[Index, DataFrame]:
+def drawn(rows: DataFrame, count: int, sample: int) -> DataFrame:
+    """The ``sample`` of ``count`` rows (ids, v) with the least hashes, in that order.
+
+    Those far above are left out before the order: each task would otherwise
+    send the least ``sample`` of its own rows to the one that merges them.
+    """
+    hashed = rows.select("v", F.xxhash64(F.col("ids")[0]).alias("h"), F.col("ids")[0].alias("i"))
+    part = (1.25 * sample + 1000) / count
+    if part < 1:
+        few = hashed.where(F.col("h") < min(int((part - 0.5) * 2**64), 2**63 - 1))
+        if few.count() >= sample:  # but for a chance of less than one in a million
+            hashed = few
+    return hashed.orderBy("h", "i").limit(sample).select("v")
+
+
+def build(rows: DataFrame, dim: int, total: int, count: int, top: int, k: int, sample: int, block: int, visit: float | None, recall: float) -> tuple[Index, DataFrame]:
     """Fit the index on at most ``sample`` vectors, taken by hash, and assign every entry its cell.
 
     As many again, if there are more, serve to calibrate the share of rows that a query visits.
     """
-    order = F.xxhash64(F.col("ids")[0])
-    some = [r["v"] for r in rows.select("v", order.alias("h"), F.col("ids")[0].alias("i")).orderBy("h", "i").limit(2 * sample).collect()]
-    x = np.array(some, np.float64).reshape(len(some), dim)
+    x = _matrix(drawn(rows, count, 2 * sample).toArrow().column("v"), dim)
     fit, other = x[:sample], x[sample:]
     k = max(1, min(k, len(fit) // 4))
     half = dim // 2
@@ -186,8 +208,8 @@ def build(rows: DataFrame, dim: int, total: int, top: int, k: int, sample: int,
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], ["ids", "v", "i", "j"])
 
     placed, _ = written(rows.select("ids", "v").mapInArrow(assign, "ids array<long>, v array<double>, i int, j int"), "entries")
-    for r in placed.groupBy("i", "j").agg(F.sum(F.size("ids")).alias("n")).collect():  # at most k squared rows
-        index.held[r["i"], r["j"]] = r["n"]
+    cells = placed.groupBy("i", "j").agg(F.sum(F.size("ids")).alias("n")).toArrow()  # at most k squared rows
+    index.held[cells.column("i").to_numpy(), cells.column("j").to_numpy()] = cells.column("n").to_numpy()
     index.deal(block)
     return index, placed
 
@@ -223,13 +245,13 @@ def reranked(df, queries, top, id_col, vector_col, k, visit, recall, sample, blo
     """The result of ``search``; the work as (query_id, multiplied), how many entries each task multiplied a query with; and the index."""
     spark = df.sparkSession
     rows, _ = written(entries(df, id_col, vector_col, top), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.sum(F.size("ids")).alias("n")).collect()  # one row a length
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.sum(F.size("ids")).alias("n"), F.count("*").alias("vectors")).collect()  # one row a length
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema), None, None
-    dim, total = max(((r["dim"], r["n"]) for r in sizes), key=lambda x: (x[1], -x[0]))
+    dim, total, count = max(((r["dim"], r["n"], r["vectors"]) for r in sizes), key=lambda x: (x[1], -x[0]))
     rows = rows.where(F.size("v") == dim)
-    index, placed = build(rows, dim, total, top, k, sample, block, visit, recall)
+    index, placed = build(rows, dim, total, count, top, k, sample, block, visit, recall)
     need = max(index.share * total, top + 2)
     held = spark.sparkContext.broadcast(index)  # its size is fixed by k and the dimension
 
