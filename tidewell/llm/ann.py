@@ -76,17 +76,19 @@ def visits(first: np.ndarray, second: np.ndarray, held: np.ndarray, need: float)
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     fa, sb = first[a].tolist(), second[b].tolist()
     k = len(sb)
-    ends = [*range(TILE - 1, k - 1, TILE), k - 1]
-    tiles = np.diff(held[np.ix_(a, b)].cumsum(1)[:, ends], prepend=0, axis=1).tolist()
+    starts = range(0, k, TILE)
+    tiles = np.add.reduceat(held.take(a, axis=0).take(b, axis=1), starts, axis=1).tolist()
     heap, got, depth = [(fa[0] + sb[0], 0, 0)], 0, [0] * len(fa)
     while heap and got < need:
-        _, i, t = heapq.heappop(heap)
+        _, i, t = heap[0]
         got += tiles[i][t]
         depth[i] = t + 1
+        if t + 1 < len(starts):
+            heapq.heapreplace(heap, (fa[i] + sb[starts[t + 1]], i, t + 1))
+        else:
+            heapq.heappop(heap)
         if t == 0 and i + 1 < len(fa):
             heapq.heappush(heap, (fa[i + 1] + sb[0], i + 1, 0))
-        if t + 1 < len(ends):
-            heapq.heappush(heap, (fa[i] + sb[(t + 1) * TILE], i, t + 1))
     out = np.zeros(len(fa), np.int32)
     out[a] = np.minimum(np.array(depth) * TILE, k)
     return out
@@ -305,17 +307,20 @@ def reranked(df, queries, top, id_col, vector_col, k, visit, recall, sample, blo
 
     def answers(own, base, cell, ids, part, out):
         asked_for = _matrix(part.column(6), dim)
+        slack = 4 * dim * np.finfo(float).eps * np.sqrt((base**2).sum(1).max())  # a product's error bound, by the query's length
         for q, v, depth in zip(part.column(3).to_pylist(), asked_for, part.column(5).to_pylist(), strict=True):
             place = np.empty(len(own.centres[1]), np.int64)
             place[np.argsort(own.distances(v)[1], kind="stable")] = np.arange(len(place))
             visited = np.flatnonzero(place[cell[:, 1]] < np.array(depth)[cell[:, 0]])
             if not len(visited):
                 continue
-            s = (base[visited] * v).sum(1)  # in one order of adding, whatever the block
-            best = np.arange(len(s))
-            if len(s) > top + 1:  # by entries; each holds an id other than the query's or is that query
-                best = np.flatnonzero(s >= np.partition(s, len(s) - top - 1)[len(s) - top - 1])
-            found = sorted((-float(s[e]), i) for e in best.tolist() for i in ids[visited[e]] if i != q)[:top]
+            best = visited
+            if len(visited) > top + 1:  # by entries; each holds an id other than the query's or is that query
+                near = base.take(visited, axis=0) @ v
+                floor = np.partition(near, len(near) - top - 1)[len(near) - top - 1] - slack * np.sqrt((v**2).sum())
+                best = visited[~(near < floor)]
+            s = (base[best] * v).sum(1)  # in one order of adding, whatever the block
+            found = sorted((-x, i) for e, x in zip(best.tolist(), s.tolist(), strict=True) for i in ids[e] if i != q)[:top]
             out.append((q, [i for _, i in found], [-x for x, _ in found], len(visited)))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
