@@ -51,18 +51,35 @@ def salted_lookup(
     return left.join(fetched, [key, "_salt"], how).drop("_salt")
 
 
+#: Words of 64 bits of the filter in ``without``: 2 MB, whatever the table.
+FILTER_WORDS = 1 << 18
+
+
 def without(df: DataFrame, fates: DataFrame, *keys) -> DataFrame:
     """The rows of ``df`` that stay, all columns as they are.
 
     ``fates`` tells of the ``keys`` of rows, in its first columns, whether they
-    stay and how many rows share them; of several that stay one does.  The rows
-    themselves move only if those that go are too many to be broadcast.
+    stay and how many rows share them; of several that stay one does.  A bit
+    filter of fixed size holds the hashes of the keys that go or repeat: rows it
+    doesn't know stay where they are, and only the others move, to be compared
+    by the whole keys.  A table with more such keys than bits moves all rows.
     """
     names = fates.columns[: len(keys)]
     fates, _ = written(fates.where("not stays or times > 1"), "fates")
+
+    def spot(columns):
+        h = F.xxhash64(*columns)
+        return F.pmod(h, F.lit(FILTER_WORDS)).alias("word"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int").alias("bit")
+
+    one = F.expr("shiftleft(1L, bit)")
+    bits, _ = written(fates.select(*spot(names)).groupBy("word").agg(F.bit_or(one).alias("bits")), "filter")
     packed = df.select(F.struct(*df.columns).alias("row"), *[k.alias(n) for k, n in zip(keys, names, strict=True)])
-    out = packed.join(fates, names, "left_anti")
+    spots = packed.select("*", *spot(names)).join(F.broadcast(bits), "word", "left")  # at most FILTER_WORDS rows
+    known = F.coalesce(F.col("bits").bitwiseAND(one) != 0, F.lit(False))
+    out = spots.where(~known).select("row")
+    asked = spots.where(known).select("row", *names)
+    out = out.unionByName(asked.join(fates, names, "left_anti").select("row"))
     again = fates.where("stays")
     if not again.isEmpty():
-        out = out.unionByName(packed.join(again, names, "left_semi").dropDuplicates(names))
+        out = out.unionByName(asked.join(again, names, "left_semi").dropDuplicates(names).select("row"))
     return out.select("row.*")
