@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 
 from tests.llm.test_simhash import plain_components
+from pyspark.sql import functions as F
+from tidewell.llm import common
 from tidewell.llm import similarity
 from tidewell.llm.common import table
 from tidewell.llm.components import components
@@ -129,3 +131,14 @@ def test_recall_against_brute_force(spark):
         touched = {i for p in pairs for i in p}
         assert set(range(len(texts))) - ids <= touched
     assert near > 40 and found / near >= 0.95
+
+
+def test_rows_that_the_filter_knows_by_chance_stay(spark, monkeypatch):
+    """With one word of bits most rows are known to the filter, and the whole keys decide."""
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)
+    rows = spark.range(400).select((F.col("id") % 300).alias("a"), F.lit("clash").alias("word"), F.lit("clash").alias("bits"))
+    fates = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 7 > 0).alias("stays"), F.when(F.col("id") < 100, 2).otherwise(1).alias("times"))
+    out = [r.a for r in common.without(rows, fates, F.col("a")).collect()]
+    assert sorted(out) == [i for i in range(300) if i % 7]
+    none = fates.where("k < 0")
+    assert common.without(rows, none, F.col("a")).count() == 400
