@@ -8,7 +8,7 @@ from tests.test_operators import RC, make_reads, make_whitelist, plain_nanopore,
 from tidewell import cli
 from tidewell.operators import whitelist
 from tidewell.plans.pipelines import run_count, run_illumina
-from tidewell.plans.registry import ORACLE_SQL, QUERIES
+from tidewell.plans.registry import ORACLE_SQL, QUERIES, _lanes
 from tidewell.sources.bam import bam_bytes, register
 from tidewell.streaming.reads import assign_stream, dedup_stream
 
@@ -109,6 +109,15 @@ def test_several_lanes(spark, tmp_path):
         run_illumina(spark, str(tmp_path / "1"), str(tmp_path / "2"), wl, str(tmp_path / "o2"))
 
 
+def test_lanes_of_any_size(spark, tmp_path):
+    """Each lane is a file of its own, however few its reads, so that both sides of pairs have the same files."""
+    ks = [0, *range(1, 300, 3), *range(2, 300, 3)]
+    _lanes(spark.createDataFrame([(k, f"r{k}", "ACGT") for k in ks], "k long, name string, seq string"), "seq", str(tmp_path / "l"))
+    files = sorted(x for x in os.listdir(tmp_path / "l") if x.endswith(".gz"))
+    names = [[int(x[2:].split()[0]) for x in gzip.open(tmp_path / "l" / f, "rt").read().splitlines()[::4]] for f in files]
+    assert names == [[0], list(range(1, 300, 3)), list(range(2, 300, 3))]
+
+
 def test_several_bam_files(spark, tmp_path):
     register(spark)
     (tmp_path / "b").mkdir()
