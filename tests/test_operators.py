@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_functions import plain_extract
 from tidewell.functions.chemistry import PIPSEQ_V4
 from tidewell.operators import abundance, assign, matrix, molecules, whitelist
+from tidewell.plans import derive
 
 RC = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
 
@@ -184,3 +185,14 @@ def test_matrix_and_sinks(spark, tmp_path):
     lines = (tmp_path / "eq.txt").read_text().splitlines()
     assert lines[:2] == ["122", "t0\t100"] and sorted(lines[123:])[2] == "A" * 15 + "C\tACG\tt0\tt1"
     assert [sinks.number(x) for x in (1.0, 0.1, 1e7, 0.029215664, 12345678)] == ["1", "0.1", "10000000", "0.029215664", "12345678"]
+
+
+def test_anchor_that_fits_elsewhere(spark):
+    """Read 88749 of the derived tables: a stretch of the turned read passes for an anchor, and the cascade takes it."""
+    read = "TTTTCTTCAGATGGGGATGGAGTAACGTCGAGATACCGACATCCCTACTCGGTTATATTTTTATAAAAATTTAAAATTTTATAATTATAATAAAAAAATAATTTAATAATTATAAATTTTTAAATAAAAATA"
+    keys = [[r["key"] for r in derive.frame(spark, "", derive.whitelist_sql(False)).where(f"segment = {s}").orderBy("row").collect()] for s in range(4)]
+    want = plain_nanopore(read, plain_words([[RC(k) for k in reversed(row)] for row in zip(*keys, strict=True)]))
+    assert want == ("matched", 59527866, "TCGAGATACCGA", "TTTTCTTCAGATGGGGATGGAGTAACG", True)
+    reads = spark.createDataFrame([("read88749", read)], "name string, seq string")
+    got = assign.assign_nanopore(reads, whitelist.dictionary(derive.frame(spark, "", derive.whitelist_sql(False)))).first()
+    assert (got.status, got.cell, got.umi, got.cdna, got.is_polya) == want
