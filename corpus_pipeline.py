@@ -28,8 +28,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     So do null and empty texts and those without a letter.  Null ids don't train.
     """
     model = train(docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(False))))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return predict(packed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    # By place, since columns may have the names that predict adds; each text goes to Python once.
+    names = docs.columns
+    placed = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    known = predict(placed, model, f"c{names.index('text')}").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return known.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_representatives import expected
+from tidewell.llm import langid
 from tidewell.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +48,14 @@ def test_stages_keep_columns_and_edge_cases(spark, docs):
         whole = {(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.collect()}
         assert {(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in got} <= whole
         rows = out
+
+
+def test_language_stage_sends_each_text_once(spark, docs, monkeypatch):
+    """Python gets each column once, and gives rows back in parts."""
+    sent, run, mapped = [], [], type(docs).mapInArrow
+    monkeypatch.setattr(corpus_pipeline, "predict", lambda df, *a: sent.append(df) or langid.predict(df, *a))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a: run.append(f) or mapped(self, f, *a))
+    corpus_pipeline.language_stage(spark, docs, SF)
+    assert [f.dataType for f in sent[0].schema] == [f.dataType for f in docs.schema]
+    text = pa.RecordBatch.from_pydict({n: ["some words"] * 1000 for n in sent[0].columns})
+    assert [b.num_rows for b in run[-1](iter([text]))] == [256, 256, 256, 232]

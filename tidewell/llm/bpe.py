@@ -236,6 +236,7 @@ def encoded(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids:
                 if ids:
                     more.append(pa.array(all_ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*names, *added])
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 

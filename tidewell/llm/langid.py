@@ -25,6 +25,8 @@ from .common import discard, written
 UNKNOWN = "und"
 #: The weights of a trained model take 8 bytes an n-gram and label: 262 MB at this many labels, the most there may be.
 MOST_LABELS = 500
+#: Rows given back at once, so that an executor holds one batch of texts a task, not two.
+PART = 256
 ORDERS = (1, 2, 3)
 # Odd multipliers of the n-gram hash, one for each place in the n-gram.
 MULTIPLIERS = (2654435761, 2246822519, 3266489917)
@@ -255,11 +257,14 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
-            out = [model.predict(t.as_py()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
-                [*names, "lang_pred", "score"],
-            )
+            for start in range(0, b.num_rows, PART):
+                part = b.slice(start, PART)
+                out = [model.predict(t.as_py()) for t in part.column(at)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
+                    [*names, "lang_pred", "score"],
+                )
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
