@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import encoded
-from tidewell.llm.common import discard, fresh_path, scratch, table
+from tidewell.llm.common import discard, fresh_path, scratch, small_batches, table
 from tidewell.llm.exact_dedup import keep_first
 from tidewell.llm.langid import UNKNOWN, predict, train
 from tidewell.llm.mixing import repeated
@@ -20,6 +20,8 @@ from tidewell.llm.simhash import representatives
 
 #: A document goes if its language is unknown or predicted with a lower score.
 LEAST_SCORE = 0.3
+#: Pre-tokens that a Python worker remembers in each of two generations: an executor's workers share its memory with it.
+REMEMBERED = 30_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     So do null and empty texts and those without a letter.  Null ids don't train.
     """
+    small_batches(spark)
     model = train(docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(False))))
     # By place, since columns may have the names that predict adds; each text goes to Python once.
     names = docs.columns
@@ -47,6 +50,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     similarity of five-word shingles, 0.8 or more, decides.  The smallest id
     stays, a null one being the largest; wordless texts are one component.
     """
+    small_batches(spark)
     return representatives(docs)
 
 
@@ -60,7 +64,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: each document as token ids, with digests of ids and decoded bytes; null text has none."""
-    return encoded(docs, public_vocabulary(), ids=True).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    small_batches(spark)
+    return encoded(docs, public_vocabulary(), ids=True, remembered=REMEMBERED).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

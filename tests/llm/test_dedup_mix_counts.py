@@ -1,12 +1,13 @@
 import hashlib
 import re
+import sys
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import queries
+from tidewell.llm import common, queries
 from tidewell.llm.common import fresh_path, salted_lookup, table
 from tidewell.llm.exact_dedup import exact_dedup, keep_first
 from tidewell.llm.mixing import mix_documents, repeated, source_targets
@@ -208,3 +209,15 @@ def test_salted_lookup(spark):
     got = {r.i: r.v for r in salted_lookup(left, "k", F.col("i"), right, "left").collect()}
     assert got == {r.i: {7: "seven", 0: "zero"}.get(r.k) for r in left.collect()}
     assert salted_lookup(left, "k", F.col("i"), right).count() == 61
+
+
+def test_keep_first_moves_only_texts_with_copies(spark, monkeypatch):
+    """Of 1000 texts the 20 with copies reach the shuffles of whole texts; a filter that knows all rows changes nothing."""
+    module, sent = sys.modules["tidewell.llm.exact_dedup"], []
+    monkeypatch.setattr(module, "exact_dedup", lambda df, *a: sent.append(df.count()) or exact_dedup(df, *a))
+    rows = [(i, f"text  {i}") for i in range(1000)] + [(2000 + i, f"text\t{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in keep_first(df).collect()) == list(range(1000))
+    assert sent == [40]
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)
+    assert sorted(r.doc_id for r in keep_first(df).collect()) == list(range(1000))

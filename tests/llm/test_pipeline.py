@@ -59,3 +59,24 @@ def test_language_stage_sends_each_text_once(spark, docs, monkeypatch):
     assert [f.dataType for f in sent[0].schema] == [f.dataType for f in docs.schema]
     text = pa.RecordBatch.from_pydict({n: ["some words"] * 1000 for n in sent[0].columns})
     assert [b.num_rows for b in run[-1](iter([text]))] == [256, 256, 256, 232]
+
+
+def test_batches_of_texts_are_bounded(spark, docs):
+    """Python gets some megabytes at once, not 10,000 texts; a session's own bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    spark.conf.unset(name)
+    try:
+        corpus_pipeline.encoding_stage(spark, docs, SF)
+        long = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("words "), 1000).alias("text"))
+        got = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 20e6 and max(got) < 5e6
+        spark.conf.set(name, "1000")
+        corpus_pipeline.encoding_stage(spark, docs, SF)
+        assert spark.conf.get(name) in ("1000", "1000b")
+    finally:
+        spark.conf.unset(name)

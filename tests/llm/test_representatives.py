@@ -142,3 +142,14 @@ def test_rows_that_the_filter_knows_by_chance_stay(spark, monkeypatch):
     assert sorted(out) == [i for i in range(300) if i % 7]
     none = fates.where("k < 0")
     assert common.without(rows, none, F.col("a")).count() == 400
+
+
+def test_only_texts_with_candidates_move(spark, monkeypatch):
+    """Of 300 texts the two near copies are fetched for their shingles."""
+    fetched, flagged = [], common.flagged
+    monkeypatch.setattr(similarity, "flagged", lambda df, names, wanted: fetched.append((names, flagged(df, names, wanted))) or fetched[-1][1])
+    own = random.Random(9)
+    texts = [" ".join(f"w{own.randrange(10**6)}" for _ in range(80)) for _ in range(299)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[7] + " more"])), "doc_id long, text string")
+    assert kept(representatives(df)) == [(False, i) for i in range(299)]
+    assert [n.where("known").count() for names, n in fetched if names == ["d", "t"]] == [2]

@@ -211,3 +211,14 @@ def test_nearest_neighbours_edges(spark):
     assert search(few, few).count() == 6
     assert search(df.limit(0), df.limit(0)).collect() == []
     assert search(df.where("vec_id = 2001"), df).collect() == []
+
+
+def test_bpe_that_remembers_little():
+    """Ids don't depend on how many pre-tokens are remembered."""
+    vocabulary = queries.public_vocabulary()
+    own, little = codec(vocabulary), codec(vocabulary, 3)
+    rand = random.Random(3)
+    for _ in range(50):
+        text = " ".join(rand.choice(["alpha", "beta", "x'st", "漢字", "qzqz"]) + str(rand.randrange(20)) for _ in range(rand.randrange(12)))
+        assert little.encode(text) == own.encode(text)
+    assert little.remembered == 3 and own.remembered == own.REMEMBERED

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 
 class PerfectHash:
     """A minimal perfect hash of byte strings: hash, then displace.
@@ -137,9 +139,11 @@ class Codec:
     #: Pre-tokens remembered in each of two generations, and the longest of them.
     REMEMBERED, LONGEST = 150_000, 64
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         import regex
 
+        self.remembered = remembered
+
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.bytes_of = {v: k for k, v in ranks.items()}
@@ -159,12 +163,12 @@ class Codec:
 
     def encode(self, text: str | None) -> list[int]:
         pieces = self.find(text or "")
-        if len(self.young) > self.REMEMBERED:
+        if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         long: dict[str, tuple[int, ...]] = {}
         if new := set(pieces).difference(young):
-            if len(new) > self.REMEMBERED:  # one text with that many is not remembered
+            if len(new) > self.remembered:  # one text with that many is not remembered
                 known = self.resolve(list(new)) | {p: young[p] for p in set(pieces) - new}
                 return list(chain.from_iterable(map(known.__getitem__, pieces)))
             for p in [p for p in new if p in old]:
@@ -202,25 +206,26 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def codec(vocabulary: Vocabulary) -> Codec:
+def codec(vocabulary: Vocabulary, remembered: int = Codec.REMEMBERED) -> Codec:
     """One codec a worker process: building the hash takes a second or so."""
-    return Codec(vocabulary.ranks(), vocabulary.pattern)
+    return Codec(vocabulary.ranks(), vocabulary.pattern, remembered)
 
 
-def encoded(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids: bool = False) -> DataFrame:
+def encoded(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids: bool = False, remembered: int = Codec.REMEMBERED) -> DataFrame:
     """``df`` with n_tokens, ids_sha256 and decoded_sha256, and ``ids`` if asked for.
 
     Null text is empty text: 0 tokens.  ids_sha256 is of the decimal ids joined
     by one space, decoded_sha256 of the bytes that the ids decode to.  Every
     text is encoded whole; special tokens are ordinary text.  Columns of those
-    names in ``df`` are replaced.
+    names in ``df`` are replaced.  ``remembered`` bounds the pre-tokens that a
+    worker keeps, for speed alone.
     """
     df = df.drop("n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids)
     names, at = df.columns, df.columns.index(text_col)
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(held.value)
+        own = codec(held.value, remembered)
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
@@ -236,13 +241,12 @@ def encoded(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids:
                 if ids:
                     more.append(pa.array(all_ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*names, *added])
-        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
     added = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
     schema = StructType([*df.schema.fields]).add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
-    return df.mapInArrow(run, schema.add("ids", ArrayType(IntegerType())) if ids else schema)
+    return df.mapInArrow(lean(run), schema.add("ids", ArrayType(IntegerType())) if ids else schema)
 
 
 def decoded(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
@@ -251,7 +255,7 @@ def decoded(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(held.value)
+        own = codec(held.value, Codec.REMEMBERED)
         for b in batches:
             out = [None if (v := x.as_py()) is None else own.decode(v) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*names, out_col])

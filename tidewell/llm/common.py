@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +32,31 @@ def word_count(text: Column) -> Column:
     return F.length(F.rtrim(marks, F.lit(BLANKS))).cast("long")
 
 
+#: Bytes of a batch on its way to Python; the default is 10,000 rows, which are 50 MB and more of texts.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches sent to Python by bytes, from now on in this session, unless it has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, giving freed memory back to the system at its end: the worker lives on, and others beside it."""
+
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # of glibc alone
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return leaner
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of salts that spreads one hot key over a whole shuffle."""
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -51,33 +81,44 @@ def salted_lookup(
     return left.join(fetched, [key, "_salt"], how).drop("_salt")
 
 
-#: Words of 64 bits of the filter in ``without``: 2 MB, whatever the table.
+#: Words of 64 bits of the filter in ``flagged``: 2 MB, whatever the table.
 FILTER_WORDS = 1 << 18
 
 
-def without(df: DataFrame, fates: DataFrame, *keys) -> DataFrame:
-    """The rows of ``df`` that stay, all columns as they are.
+def flagged(df: DataFrame, names: list[str], wanted: DataFrame) -> DataFrame:
+    """``df`` with ``known``: true for rows whose columns ``names`` are a row of ``wanted``, and for some others by chance.
 
-    ``fates`` tells of the ``keys`` of rows, in its first columns, whether they
-    stay and how many rows share them; of several that stay one does.  A bit
-    filter of fixed size holds the hashes of the keys that go or repeat: rows it
-    doesn't know stay where they are, and only the others move, to be compared
-    by the whole keys.  A table with more such keys than bits moves all rows.
+    A bit filter of fixed size holds the hashes of ``wanted``, so that no row of
+    ``df`` moves.  The more rows ``wanted`` has, the more others are known; with
+    more rows than bits all are.
     """
-    names = fates.columns[: len(keys)]
-    fates, _ = written(fates.where("not stays or times > 1"), "fates")
 
     def spot(columns):
         h = F.xxhash64(*columns)
         return F.pmod(h, F.lit(FILTER_WORDS)).alias("word"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int").alias("bit")
 
     one = F.expr("shiftleft(1L, bit)")
-    bits, _ = written(fates.select(*spot(names)).groupBy("word").agg(F.bit_or(one).alias("bits")), "filter")
+    bits, _ = written(wanted.select(*spot(wanted.columns)).groupBy("word").agg(F.bit_or(one).alias("bits")), "filter")
+    spots = df.select("*", *spot(names)).join(F.broadcast(bits), "word", "left")  # at most FILTER_WORDS rows
+    return spots.withColumn("known", F.coalesce(F.col("bits").bitwiseAND(one) != 0, F.lit(False))).drop("word", "bit", "bits")
+
+
+def without(df: DataFrame, fates: DataFrame, *keys) -> DataFrame:
+    """The rows of ``df`` that stay, all columns as they are.
+
+    ``fates`` tells of the ``keys`` of rows, in its first columns, whether they
+    stay and how many rows share them; of several that stay one does.  Keys that
+    it doesn't tell of stay.  A filter (``flagged``) holds the keys that go or
+    repeat: rows it doesn't know stay where they are, and only the others move,
+    to be compared by the whole keys.  A table with more such keys than bits
+    moves all rows.
+    """
+    names = fates.columns[: len(keys)]
+    fates, _ = written(fates.where("not stays or times > 1"), "fates")
     packed = df.select(F.struct(*df.columns).alias("row"), *[k.alias(n) for k, n in zip(keys, names, strict=True)])
-    spots = packed.select("*", *spot(names)).join(F.broadcast(bits), "word", "left")  # at most FILTER_WORDS rows
-    known = F.coalesce(F.col("bits").bitwiseAND(one) != 0, F.lit(False))
-    out = spots.where(~known).select("row")
-    asked = spots.where(known).select("row", *names)
+    spots = flagged(packed, names, fates.select(*names))
+    out = spots.where("not known").select("row")
+    asked = spots.where("known").select("row", *names)
     out = out.unionByName(asked.join(fates, names, "left_anti").select("row"))
     again = fates.where("stays")
     if not again.isEmpty():

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, shuffle_width, without
+from .common import SPACE, discard, flagged, shuffle_width, without, written
 
 LISTED = 1_000_000
 
@@ -91,8 +91,15 @@ def exact_dedup(
 def keep_first(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that ``exact_dedup`` keeps, with all their columns, whatever their names.
 
-    Of rows repeated with one id and text one stays.
+    Of rows repeated with one id and text one stays.  Texts whose hash no other
+    row has are alone and don't move: ``exact_dedup`` gets the others.
     """
-    key, sha = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("")), F.sha2(normalised(F.col(text_col)), 256)
-    marked = exact_dedup(df, text_col, id_col).select(key.alias("id"), F.col("text_sha256").alias("sha"), "kept")
-    return without(df, marked.groupBy("id", "sha").agg(F.max("kept").alias("stays"), F.count("*").alias("times")), key, sha)
+    rows = df.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.xxhash64(normalised(F.col(text_col))).alias("hash"))
+    shared, hashes = written(rows.groupBy("hash").count().where("count > 1").select("hash"), "shared")
+    likely, texts = written(flagged(rows, ["hash"], shared).where("known").select("text", "id"), "likely")
+    key = lambda of: F.coalesce(F.concat(F.lit("i"), F.col(of).cast("string")), F.lit(""))
+    marked = exact_dedup(likely, "text", "id").select(key("id").alias("id"), F.col("text_sha256").alias("sha"), "kept")
+    out = without(df, marked.groupBy("id", "sha").agg(F.max("kept").alias("stays"), F.count("*").alias("times")), key(id_col), F.sha2(normalised(F.col(text_col)), 256))
+    for path in (hashes, texts):  # the fates are a table of their own by now
+        discard(df.sparkSession, path)
+    return out

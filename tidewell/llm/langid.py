@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, lean, written
 
 UNKNOWN = "und"
 #: The weights of a trained model take 8 bytes an n-gram and label: 262 MB at this many labels, the most there may be.
@@ -187,7 +187,7 @@ def train(
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["at", "n"])
 
-    counted = rows.select("text").mapInArrow(frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    counted = rows.select("text").mapInArrow(lean(frequencies), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     frequency = np.zeros(size + 1, np.int64)
     for r in counted.collect():  # at most 2**bits + 1 rows
         frequency[r["at"]] = r["n"]
@@ -232,7 +232,7 @@ def train(
                     ["label", "rank", "ids", "counts"],
                 )
 
-    made = sample.select("label", "rank", "text").mapInArrow(features, "label string, rank long, ids binary, counts binary")
+    made = sample.select("label", "rank", "text").mapInArrow(lean(features), "label string, rank long, ids binary, counts binary")
     made, path = written(made, "sample")
     # A running sum over a label's sample, which is at most per_label rows.
     so_far = F.sum(F.octet_length("ids") + F.octet_length("counts")).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -264,8 +264,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     [*part.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
                     [*names, "lang_pred", "score"],
                 )
-        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    return df.mapInArrow(run, StructType([*df.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
+    return df.mapInArrow(lean(run), StructType([*df.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_lookup, without, written
+from .common import lean, salted_lookup, without, written
 from .components import components
 from .similarity import shingles, similar_components
 
@@ -273,7 +273,7 @@ def probes(nodes: DataFrame, plan: Plan) -> DataFrame:
                             ["part", "key", "d", "f", "kind"],
                         )
 
-    return nodes.select("d", "f").mapInArrow(run, "part byte, key long, d long, f long, kind byte")
+    return nodes.select("d", "f").mapInArrow(lean(run), "part byte, key long, d long, f long, kind byte")
 
 
 class _Forest:
@@ -450,7 +450,7 @@ def _block_links(members: DataFrame, distance: int, block: int) -> DataFrame:
     each = known.join(mixed, bucket, "left_semi").select(*bucket, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("n"), blocks).alias("home"), "n", "root")
     dealt = each.select(*bucket, "block", (F.col("home") != F.col("block")).alias("guest"), "n.d", "n.f", "root")
     dealt = dealt.repartition(*bucket, "block").sortWithinPartitions(*bucket, "block", "guest")
-    return stars.unionByName(_edges(dealt.mapInArrow(_crossed(distance), EDGES)))
+    return stars.unionByName(_edges(dealt.mapInArrow(lean(_crossed(distance)), EDGES)))
 
 
 EDGES = "ud long, uf long, vd long, vf long"
@@ -503,7 +503,7 @@ def link(nodes: DataFrame, distance: int = 3, parts: int | None = None, bucket_r
             edges = _ball_links(crowd.select("d", "f"), distance) if distance <= 4 else _block_links(crowd, distance, block)
             rows = rows.join(hot, ["part", "key"], "left_anti")
     dealt = rows.repartition("part", "key").sortWithinPartitions("part", "key")
-    found = _edges(dealt.select("part", "key", "d", "f", "kind").mapInArrow(_links(distance), EDGES))
+    found = _edges(dealt.select("part", "key", "d", "f", "kind").mapInArrow(lean(_links(distance)), EDGES))
     return found if edges is None else found.unionByName(edges)
 
 
@@ -560,7 +560,7 @@ def _sketched(rows: DataFrame, shingle: int) -> DataFrame:
             more = [pa.array(f.view(np.int64)), pa.array(size), pa.array(mark.view(np.int64))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more], ["d", "t", "f", "size", "mark"])
 
-    return rows.mapInArrow(run, "d long, t long, f long, size long, mark long")
+    return rows.mapInArrow(lean(run), "d long, t long, f long, size long, mark long")
 
 
 def representatives(

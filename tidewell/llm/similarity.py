@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_lookup, written
+from .common import flagged, lean, salted_lookup, written
 from .components import components
 #: About how many sets of a bucket a task holds while the bucket's others visit.
 BLOCK = 500
@@ -53,7 +53,7 @@ def _sets(rows: DataFrame) -> DataFrame:
                 hashes = shingles(b.column(1)[i].as_py()).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([hashes], pa.list_(pa.int64()))], ["f", "hashes"])
 
-    return rows.mapInArrow(run, "f long, hashes array<long>")
+    return rows.mapInArrow(lean(run), "f long, hashes array<long>")
 
 
 def _alike(a: str, b: str, similarity: float) -> Column:
@@ -62,9 +62,10 @@ def _alike(a: str, b: str, similarity: float) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (u, v; distinct) whose sets are similar enough."""
+    """Those of ``pairs`` (u, v; each u once) whose sets are similar enough."""
     pairs = pairs.withColumn("uf", F.col("u.f")).withColumn("vf", F.col("v.f"))
-    one = salted_lookup(pairs, "uf", F.col("vf"), sets.select(F.col("f").alias("uf"), F.col("hashes").alias("a")))
+    own = flagged(sets, ["f"], pairs.select("uf")).where("known")
+    one = pairs.join(own.select(F.col("f").alias("uf"), F.col("hashes").alias("a")), "uf")
     two = salted_lookup(one, "vf", F.col("uf"), sets.select(F.col("f").alias("vf"), F.col("hashes").alias("b")))
     both = F.size(F.array_intersect("a", "b"))
     return two.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
@@ -141,8 +142,10 @@ def similar_components(nodes: DataFrame, rows: DataFrame, similarity: float) ->
     met = salted_lookup(listed, "key", F.col("n.f"), least)
     met, _ = written(met.select("key", "n", "size", F.col("_v.n").alias("v"), F.col("_v.size").alias("v_size"), "members"), "buckets")
     asked, _ = written(met.select("n.d", "n.t", "n.f").distinct(), "asked")  # small ones are broadcast, as their size is known
-    sets, _ = written(_sets(rows.join(asked, ["d", "t"]).select("f", "text").dropDuplicates(["f"])), "sets")
+    near = flagged(rows, ["d", "t"], asked.select("d", "t")).where("known").drop("known")
+    sets, _ = written(_sets(near.join(asked, ["d", "t"]).select("f", "text").dropDuplicates(["f"])), "sets")
     stars = met.where((F.col("n") != F.col("v")) & _alike("size", "v_size", similarity)).select(F.col("n").alias("u"), "v").distinct()
+    stars, _ = written(stars, "pairs")
     found, _ = written(_verified(stars, sets, similarity), "stars")
     # A node has one bucket, so its star's centre is its root so far.
     known = met.join(found.select(F.col("u").alias("n"), F.col("v").alias("root")), "n", "left").withColumn("root", F.coalesce("root", "n"))
@@ -155,7 +158,7 @@ def similar_components(nodes: DataFrame, rows: DataFrame, similarity: float) ->
     )
     dealt = dealt.select("key", "block", (F.col("home") != F.col("block")).alias("guest"), "n.d", "n.f", "n.t", F.xxhash64("root").alias("root"), "hashes")
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "guest")
-    made = dealt.mapInArrow(_crossed(similarity), "ud long, uf long, ut long, vd long, vf long, vt long")
+    made = dealt.mapInArrow(lean(_crossed(similarity)), "ud long, uf long, ut long, vd long, vf long, vt long")
     node = lambda x: F.struct(F.col(x + "d").alias("d"), F.col(x + "f").alias("f"), F.col(x + "t").alias("t")).alias(x)
     more, _ = written(made.select(node("u"), node("v")).distinct(), "more")
     if more.isEmpty():
